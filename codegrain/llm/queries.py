@@ -26,9 +26,23 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codegrain.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codegrain.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, most=4).drop("node")
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}
