@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from codegrain.llm import chat, mixing, quality_rules
 from codegrain.llm.common import table
 
 
@@ -32,17 +34,47 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codegrain.llm.mixing import mix_plan
+
+    planned = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codegrain.llm.quality_rules import BASE, cascade, score
+
+    scored = score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    failed = cascade(list(BASE)).isNotNull()
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codegrain.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, most=4).drop("node")
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codegrain.llm.chat import TRAP, digest, format_conversations
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
+    return digest(format_conversations(rows.unionByName(trap)))
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op5_mixing": op5_mixing,
+    "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
+    "op9_chat_formatting": op9_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE,
+    "op7_quality_rules": quality_rules.ORACLE,
+    "op9_chat_formatting": chat.ORACLE,
+}
