@@ -7,6 +7,7 @@ rejects is not shown to the later ones. The order never changes which documents
 
 from __future__ import annotations
 
+import functools
 import time
 from dataclasses import dataclass
 
@@ -32,16 +33,17 @@ def words_of(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(words_of(text)).cast("long")
 
 
 def word_chars(text: Column) -> Column:
     """Code points in words."""
-    return F.coalesce(F.length(F.translate(text, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("long")
+    bare = functools.reduce(lambda c, space: F.replace(c, F.lit(space), F.lit("")), " \t\n\x0b\x0c\r", text)
+    return F.coalesce(F.length(bare), F.lit(0)).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return F.coalesce(F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit("[#*$%&|<>]")), F.lit(0)).cast("long")
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -56,7 +58,7 @@ def _covered(words: Column) -> Column:
     Windows are compared by hash first, which finds every repetition; only those whose hash recurs are compared as
     strings, sorted so that equal ones are neighbours. Nothing compares all windows with all.
     """
-    hashes = F.transform(words, lambda w, i: F.when(i < F.size(words) - 2, F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))))
+    hashes = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))  # the last two are cut off
     return let(F.slice(hashes, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_repeated(words, h)))
 
 
@@ -160,7 +162,13 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = S
     A null text has no words. Each row is judged by its own text alone, repeated rows alike.
     """
     ordered = order(rules, estimate(docs, rules, sample_rows))
-    measured = docs.drop("rejected_by", "kept", *METRICS).withColumns({name: of(F.col("text").cast("string")) for name, of in METRICS.items()})
+    text = F.col("text").cast("string")
+    bare = docs.drop("rejected_by", "kept", *METRICS)
+    (words,) = fresh(bare, "words")
+    # what needs the words shares them
+    shared = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _covered(w).alias("n_repeat_words")))
+    measured = bare.withColumns({words: shared} | {name: of(text) for name, of in METRICS.items() if name not in ("n_words", "n_repeat_words")})
+    measured = measured.withColumns({name: F.col(words)[name] for name in ("n_words", "n_repeat_words")}).drop(words)
     return measured.withColumn("rejected_by", cascade(ordered)).withColumn("kept", F.col("rejected_by").isNull())
 
 
