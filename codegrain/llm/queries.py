@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.llm import chat, mixing, quality_rules
-from codegrain.llm.common import table
+from codegrain.llm.common import remainder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,6 +34,15 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codegrain.llm.quality_classifier import score, train
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = train(docs, labels.where(remainder(F.col("doc_id"), 4) != 2))
+    scored = score(docs, model)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codegrain.llm.mixing import mix_plan
 
@@ -63,14 +72,25 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_conversations(rows.unionByName(trap)))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codegrain.llm.langid import predict, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(remainder(F.col("doc_id"), 3) != 1))
+    predicted = predict(docs, model)
+    return predicted.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
