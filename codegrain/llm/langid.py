@@ -125,47 +125,52 @@ def train(docs: DataFrame, per_language: int = 400, landmarks_per_language: int
     return solve(sent.value, np.array([r["values"] for r in sample]), [r["lang"] for r in sample], ridge)
 
 
+def _scored(texts: list[np.ndarray], model: Model | None, sharpness: float) -> tuple[list[str], list[float]]:
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if model is not None and texts:
+        raw = model.kernel(texts) @ model.coefficients
+        odds = np.exp(sharpness * (raw - raw.max(axis=1, keepdims=True)))
+        odds /= odds.sum(axis=1, keepdims=True)
+        for i in np.flatnonzero([len(g) for g in texts]):
+            names[i], scores[i] = model.names[odds[i].argmax()], float(odds[i].max())
+    return names, scores
+
+
 def predict(docs: DataFrame, model: Model | None, sharpness: float = 4.0) -> DataFrame:
     """documents (doc_id, text) as doc_id, lang_pred, score.
 
     score: softmax of the regressions' values, of the predicted language. Null texts and texts without a letter are
     `und` with score 0, and so is everything without a model. Whole texts count; other columns are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # landmarks' grams and coefficients
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = _texts(part, 1)
-                names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                if model is not None:
-                    raw = model.kernel(texts) @ model.coefficients
-                    odds = np.exp(sharpness * (raw - raw.max(axis=1, keepdims=True)))
-                    odds /= odds.sum(axis=1, keepdims=True)
-                    for i in np.flatnonzero([len(g) for g in texts]):
-                        names[i], scores[i] = model.names[odds[i].argmax()], float(odds[i].max())
+                names, scores = _scored(_texts(part, 1), sent.value, sharpness)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents in a known language, all columns as they were: those without a letter go."""
-    if model is None:
-        return docs.limit(0)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def keep_known(docs: DataFrame, model: Model | None, above_chance: float = 1.2, sharpness: float = 4.0) -> DataFrame:
+    """The documents in a language that the model knows, all columns as they were.
+
+    Those without a letter go, and those for which no language stands out: whose score is less than above_chance times
+    that of an even guess, as with texts that share hardly an n-gram with any landmark. Without a model, or with one
+    language only, the letters alone decide.
+    """
+    sent, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
-    def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        least = above_chance / len(model.names) if model is not None and len(model.names) > 1 else 0.0
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                texts = _texts(part, at)
-                raw = sent.value.kernel(texts) @ sent.value.coefficients
-                known = [bool(len(g)) and bool(np.isfinite(r).all()) for g, r in zip(texts, raw, strict=True)]
-                yield part.filter(pa.array(known, pa.bool_()))
-
-    names = docs.columns
-    return docs.mapInArrow(verdict, docs.schema)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = _texts(part, text)
+                _, scores = _scored(texts, model, sharpness)
+                yield part.filter(pa.array([len(g) > 0 and x >= least for g, x in zip(texts, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

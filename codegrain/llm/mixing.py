@@ -30,10 +30,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     below = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     all_rows = Window.partitionBy()
     level = (F.sum("source_size").over(all_rows) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
-    # the level as if all sources below were full and no other; the first that does not fill up at it fixes it
+    # the level as if all sources below were full and no other: it rises while the next source fills up at it and
+    # falls from then on, so the highest is the one sought
     held = ranked.withColumn("level", level)
-    fixed = held.withColumn("level", F.min(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.col("level"))).over(all_rows))
-    return fixed.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    fixed = held.withColumn("level", F.max("level").over(all_rows))
+    return fixed.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
 def uniform(*keys: Column, seed: int) -> Column:
@@ -87,9 +88,9 @@ WITH sized AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER below, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0)) AS level
   FROM ranked WINDOW below AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), fixed AS (
-  SELECT *, min(CASE WHEN cap / weight >= level THEN level END) OVER () AS found FROM held
+  SELECT *, max(level) OVER () AS found FROM held
 ), goal AS (
-  SELECT source, source_size, least(cap, coalesce(found * weight, cap)) AS target FROM fixed
+  SELECT source, source_size, least(cap, found * weight) AS target FROM fixed
 ), rated AS (
   SELECT s.doc_id, s.size, g.source_size, g.target,
          coalesce(g.target / nullif(g.source_size::DOUBLE, 0), 0) AS rate,

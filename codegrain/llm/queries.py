@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm import chat, mixing, quality_rules
+from codegrain.llm import chat, license_scan, mixing, quality_rules
 from codegrain.llm.common import remainder, table
 
 
@@ -50,6 +50,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codegrain.llm.quality_rules import BASE, cascade, score
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_mixing": op5_mixing,
+    "op6_license_scan": op6_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
     "op9_chat_formatting": op9_chat_formatting,
@@ -95,6 +100,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
+    "op6_license_scan": license_scan.oracle(),
     "op7_quality_rules": quality_rules.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
 }
