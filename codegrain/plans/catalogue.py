@@ -2,5 +2,528 @@
 
 from __future__ import annotations
 
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from codegrain.functions import comments, similarity, text
+from codegrain.operators import nodes, paths, quality, relevance
+from codegrain.plans import prompt, score
+from codegrain.sources import jsonl
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(of):
+        QUERIES[of.__name__] = of
+        if sql:
+            ORACLES[of.__name__] = sql
+        return of
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- similarity of answers -------------------------------------------------------------------------------------------
+
+PAIRS_SQL = r"""WITH chat AS (
+  SELECT conv_id, turn, left(regexp_replace(text, '[^ -~]', '', 'g'), 300) AS t FROM conversations
+), pairs AS (
+  SELECT b.conv_id, b.turn, a.t AS a, b.t AS b FROM chat a JOIN chat b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+), scores AS (
+  SELECT conv_id, turn, a, b, round((1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) * 100, 4) AS score FROM pairs WHERE length(a) + length(b) > 0
+)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with the one before it, in printable ASCII, 300 characters at most: the feature is the pairwise distance."""
+    chat = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 300).alias("t"))
+    before = chat.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("t").alias("a"))
+    return before.join(chat.withColumnRenamed("t", "b"), ["conv_id", "turn"]).where("length(a) + length(b) > 0")
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).withColumn("score", similarity.char_similarity(F.col("a"), F.col("b")))
+
+
+@query(PAIRS_SQL + " SELECT conv_id, turn, score FROM scores")
+def edit_similarity_char(spark, sf_dir):
+    return _scores(spark, sf_dir).select("conv_id", "turn", "score")
+
+
+@query(r"""WITH chat AS (
+  SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')[1:40] AS t FROM conversations
+), pairs AS (
+  SELECT b.conv_id, b.turn, a.t AS a, b.t AS b, list_distinct(list_concat(a.t, b.t)) AS v FROM chat a JOIN chat b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+), letters AS (
+  SELECT *, list_aggregate(list_transform(a, lambda x: chr(CAST(33 + list_position(v, x) AS INT))), 'string_agg', '') AS la,
+         list_aggregate(list_transform(b, lambda x: chr(CAST(33 + list_position(v, x) AS INT))), 'string_agg', '') AS lb FROM pairs
+)
+SELECT conv_id, turn, round((1 - levenshtein(la, lb)::DOUBLE / greatest(len(a), len(b))) * 100, 4) AS score FROM letters WHERE len(a) > 0 AND len(b) > 0""")
+def edit_similarity_token(spark, sf_dir):
+    chat = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(text.code_tokens(F.col("text")), 1, 40).alias("t"))
+    before = chat.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("t").alias("a"))
+    pairs = before.join(chat.withColumnRenamed("t", "b"), ["conv_id", "turn"]).where("size(a) > 0 and size(b) > 0")
+    return pairs.select("conv_id", "turn", similarity.token_similarity(F.col("a"), F.col("b")).alias("score"))
+
+
+GRAIN_SQL = """WITH marked AS (
+  SELECT d.lang, (['Class_TYPE', 'FUNCTION_TYPE', 'block_type', 'LINE', 'other'])[CAST(d.doc_id % 5 + 1 AS INT)] AS kind, 100.0::DOUBLE * l.quality AS s
+  FROM documents d JOIN labels l USING (doc_id)
+), grained AS (
+  SELECT lang, s, CASE WHEN contains(lower(kind), 'class') THEN 'class' WHEN contains(lower(kind), 'function') THEN 'function'
+                       WHEN contains(lower(kind), 'block') THEN 'block' WHEN contains(lower(kind), 'line') THEN 'line' END AS grain FROM marked
+)"""
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("Class_TYPE", "FUNCTION_TYPE", "block_type", "LINE", "other")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("fill_type"))
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id").withColumn("similarity", F.lit(100.0) * F.col("quality"))
+
+
+@query(GRAIN_SQL + " SELECT lang AS language, grain, round(avg(s), 6) AS mean_score, count(*) AS n FROM grained WHERE grain IS NOT NULL GROUP BY ALL")
+def similarity_by_grain(spark, sf_dir):
+    return score.by_grain(_marked(spark, sf_dir))
+
+
+@query(GRAIN_SQL + " SELECT lang AS language, " + ", ".join(f"CAST(trunc(coalesce(avg(s) FILTER (grain = '{g}'), 0)) AS INT) AS {g}" for g in score.GRAINS) + " FROM grained WHERE grain IS NOT NULL GROUP BY lang")
+def similarity_pivot(spark, sf_dir):
+    return score.report(_marked(spark, sf_dir))
+
+
+@query("SELECT (['class', 'function', 'block', 'line'])[CAST(doc_id % 4 + 1 AS INT)] AS grain, count(*) AS n FROM documents GROUP BY 1")
+def grain_counts(spark, sf_dir):
+    grain = F.element_at(F.array(*map(F.lit, score.GRAINS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").groupBy(grain.alias("grain")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(avg(quality), 6) AS mean_score FROM labels")
+def overall_mean_score(spark, sf_dir):
+    return table(spark, sf_dir, "labels").agg(F.round(F.avg("quality"), 6).alias("mean_score"))
+
+
+@query(PAIRS_SQL + " SELECT CASE WHEN score <= 10 THEN 'hard' WHEN score < 50 THEN 'kept' ELSE 'easy' END AS band, count(*) AS n FROM scores GROUP BY 1")
+def difficulty_band(spark, sf_dir):
+    band = F.when(quality.in_band(F.col("score")), "kept").when(F.col("score") <= 10, "hard").otherwise("easy")
+    return _scores(spark, sf_dir).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+
+
+# --- comments and code extraction ------------------------------------------------------------------------------------
+
+
+@query(r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([^\n])#[^\n]*', '\1', 'g'), '(^|\n)#[^!/\n][^\n]*', '\1', 'g') AS t FROM documents WHERE contains(text, '#') AND NOT regexp_matches(text, '(^|\n)\s*#') AND NOT regexp_matches(text, '\n#'))
+SELECT doc_id, t AS code FROM c""")
+def strip_hash_comments(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("#")) & ~F.col("text").rlike(r"(^|\n)\s*#"))
+    return docs.select("doc_id", comments.strip_comments(F.col("text"), "r", blank_lines=False).alias("code"))
+
+
+@query(r"SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS code FROM pages")
+def strip_html_comments(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", comments.strip_comments(F.col("html"), "html", blank_lines=False).alias("code"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(url || chr(10) || html, '//[^\n]*', '', 'g'), '(?s)/\*.*?\*/', '', 'g') AS code FROM pages")
+def strip_slash_comments(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", comments.strip_comments(F.concat("url", F.lit("\n"), "html"), "java", blank_lines=False).alias("code"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')), chr(10)) AS code FROM documents")
+def drop_blank_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.drop_blank_lines(F.col("text")).alias("code"))
+
+
+WRAPPED_SQL = """WITH wrapped AS (
+  SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '```python' || chr(10) || '[TASK_BEGIN]' || text || '[TASK_END]' || chr(10) || '```' WHEN 1 THEN 'so: [TASK_BEGIN] ' || text || ' [TASK_END]'
+    WHEN 2 THEN 'x ```python' || chr(10) || text || chr(10) || '``` y' ELSE text END AS t FROM conversations
+)"""
+
+
+def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, nl = F.col("text"), F.lit("\n")
+    of = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("```python\n[TASK_BEGIN]"), t, F.lit("[TASK_END]\n```"))).when(F.col("turn") % 4 == 1, F.concat(F.lit("so: [TASK_BEGIN] "), t, F.lit(" [TASK_END]")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", of.when(F.col("turn") % 4 == 2, F.concat(F.lit("x ```python"), nl, t, nl, F.lit("``` y"))).otherwise(t).alias("t"))
+
+
+@query(WRAPPED_SQL + r""" SELECT conv_id, turn, regexp_replace(CASE WHEN t = '' THEN ''
+    WHEN regexp_matches(t, '(?s)```python\s*\[TASK_BEGIN\].*?\[TASK_END\]\s*```') THEN regexp_extract(t, '(?s)```python\s*\[TASK_BEGIN\](.*?)\[TASK_END\]\s*```', 1)
+    WHEN regexp_matches(t, '(?s)\[TASK_BEGIN\].*?\[TASK_END\]') THEN regexp_extract(t, '(?s)\[TASK_BEGIN\](.*?)\[TASK_END\]', 1)
+    WHEN regexp_matches(t, '(?s)```python.*?```') THEN regexp_extract(t, '(?s)```python\s*(.*?)\s*```', 1) END, '^\s+|\s+$', '', 'g') AS code FROM wrapped""")
+def code_extract_cascade(spark, sf_dir):
+    return _wrapped(spark, sf_dir).select("conv_id", "turn", text.extract_code(F.col("t"), F.lit("python")).alias("code"))
+
+
+@query(WRAPPED_SQL + r" SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(?s)```(.*?)\n(.*?)```') THEN regexp_extract(t, '(?s)```(.*?)\n(.*?)```', 2) ELSE t END AS code FROM wrapped")
+def fenced_extract(spark, sf_dir):
+    return _wrapped(spark, sf_dir).select("conv_id", "turn", text.first_fence(F.col("t")).alias("code"))
+
+
+@query(r"""WITH c AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'public class P' || p_partkey || ' { }' WHEN 1 THEN 'class Q' || p_partkey || ' { }' ELSE 'int x;' END AS t FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(t, 'public class\s+\w*?\s+\{') THEN regexp_extract(t, 'class\s+(\w*?)\s+\{', 1) ELSE 'Main' END AS public_name,
+       CASE WHEN regexp_matches(t, 'class\s+\w+') THEN regexp_extract(t, 'class\s+(\w+)', 1) ELSE 'stem' END AS header_name FROM c""")
+def class_name_extract(spark, sf_dir):
+    key = F.col("p_partkey")
+    code = F.when(key % 3 == 0, F.concat(F.lit("public class P"), key, F.lit(" { }"))).when(key % 3 == 1, F.concat(F.lit("class Q"), key, F.lit(" { }"))).otherwise("int x;")
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("t")).select("p_partkey", text.public_class_name(F.col("t")).alias("public_name"), text.header_class_name(F.col("t"), F.lit("stem")).alias("header_name"))
+
+
+@query(r"""SELECT conv_id, turn, regexp_replace(split_part(CASE turn % 2 WHEN 0 THEN '<think>a</think> b </think> ' || text ELSE text END, '</think>', -1), '^\s+|\s+$', '', 'g') AS answer FROM conversations""")
+def think_strip(spark, sf_dir):
+    t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<think>a</think> b </think> "), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.after_thinking(t).alias("answer"))
+
+
+@query(r"SELECT doc_id, regexp_matches(CASE WHEN doc_id % 10 = 0 THEN text || '中文' ELSE text END, '[\x{4e00}-\x{9fff}]') AS cjk FROM documents")
+def cjk_flag(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("中文"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.has_cjk(t).alias("cjk"))
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+')[1:20], ' ') AS kept FROM documents")
+def truncate_tokens_right(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.truncate(text.words(F.col("text")), 20, "right"), " ").alias("kept"))
+
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[\p{L}\p{N}_]+')[-20:], ' ') AS kept FROM documents")
+def truncate_tokens_left(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
+    return docs.select("doc_id", F.array_join(text.truncate(F.col("w"), 20, "left"), " ").alias("kept"))
+
+
+# --- prompts, models, records ----------------------------------------------------------------------------------------
+
+_SYSTEM_SQL = "'You are an expert in ' || 'python' || '. From the code before and after a gap and a description, write the missing code only, in a fenced ' || 'python' || ' block between [TASK_BEGIN] and [TASK_END]. For classes and functions follow the skeleton.'"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, (['o1-mini', 'Qwen3-8B-Chat', 'plain'])[CAST(turn % 3 + 1 AS INT)] AS model,
+  'Complete the ' || 'block' || '.' || chr(10) || '```' || 'python' || chr(10) || text || '[TASK_START]' || chr(10) || '[TASK_DESCRIPTION none]' || chr(10) || '[SKELETON no skeleton]' || chr(10) || '[TASK_END]' || role || chr(10) || '```' AS u FROM conversations)
+SELECT conv_id, turn, CAST(CASE WHEN contains(model, 'o1') THEN 1 ELSE 2 END AS INT) AS n_messages,
+  CASE WHEN contains(model, 'o1') THEN {_SYSTEM_SQL} || chr(10) || u WHEN model = 'Qwen3-8B-Chat' THEN u || ' /no_think' ELSE u END AS last_content FROM p""")
+def prompt_messages(spark, sf_dir):
+    model = F.element_at(F.array(*map(F.lit, ("o1-mini", "Qwen3-8B-Chat", "plain"))), (F.col("turn") % 3 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    user = prompt.user_text(F.lit("python"), F.lit("block"), F.col("text"), F.col("role"), none, none)
+    made = table(spark, sf_dir, "conversations").select("conv_id", "turn", prompt.messages(model, prompt.system_text(F.lit("python")), user).alias("m"))
+    return made.select("conv_id", "turn", F.size("m").alias("n_messages"), F.element_at("m", -1)["content"].alias("last_content"))
+
+
+@query("SELECT lang, CASE lang WHEN 'en' THEN 'cpp' WHEN 'fr' THEN 'c_sharp' ELSE lang END AS known, count(*) AS n FROM documents GROUP BY ALL")
+def lang_alias(spark, sf_dir):
+    odd = F.when(F.col("lang") == "en", "C++").when(F.col("lang") == "fr", "C#").otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").groupBy("lang", text.language_alias(odd).alias("known")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH r AS (SELECT doc_id, source, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents),
+n AS (SELECT doc_id, w, lead(w) OVER (PARTITION BY source ORDER BY doc_id) AS v FROM r)
+SELECT doc_id, round(len(list_intersect(w, v))::DOUBLE / nullif(len(list_distinct(list_concat(w, v))), 0), 6) AS jaccard FROM n WHERE v IS NOT NULL""")
+def jaccard_pairs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(text.words(F.lower("text"))).alias("w"))
+    pairs = docs.withColumn("v", F.lead("w").over(Window.partitionBy("source").orderBy("doc_id"))).where("v is not null")
+    return pairs.select("doc_id", F.round(similarity.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
+
+
+@query()
+def fuzzy_ratio(spark, sf_dir):
+    ratio = similarity.fuzzy_ratio()
+    return _pairs(spark, sf_dir).select("conv_id", "turn", ratio("a", "b").alias("ratio")).groupBy("conv_id").agg(F.round(F.avg("ratio"), 6).alias("mean_ratio"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 10), s AS (
+  SELECT query_id, vec_id, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS c FROM q, embeddings WHERE vec_id <> query_id)
+SELECT query_id, vec_id, round(c, 4) AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) <= 5""")
+def cosine_topk(spark, sf_dir):
+    every = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = every.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # ten rows
+    scored = every.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).withColumn("c", similarity.cosine(F.col("q"), F.col("embedding")))
+    top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))
+    return scored.withColumn("rank", top).where("rank <= 5").select("query_id", "vec_id", F.round("c", 4).alias("cosine"))
+
+
+BM25_SQL = r"""WITH q AS (SELECT item_id AS sid, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t FROM benchmark WHERE item_id < 10),
+d AS (SELECT doc_id + 1 AS idx, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t FROM documents WHERE source = 'src0'),
+alldocs AS (SELECT sid, 0::BIGINT AS idx, t FROM q UNION ALL SELECT q.sid, d.idx, d.t FROM q, d),
+shape AS (SELECT sid, count(*) AS n, avg(len(t)) AS mean FROM alldocs GROUP BY sid),
+terms AS (SELECT sid, idx, unnest(t) AS term, len(t) AS dl FROM alldocs),
+tf AS (SELECT sid, idx, term, any_value(dl) AS dl, count(*) AS tf FROM terms GROUP BY ALL),
+df AS (SELECT sid, term, count(*) AS df FROM tf GROUP BY ALL),
+scored AS (SELECT tf.sid, tf.idx, sum(qt.tf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / mean))) AS s
+  FROM tf JOIN tf qt ON qt.sid = tf.sid AND qt.term = tf.term AND qt.idx = 0 JOIN df ON df.sid = tf.sid AND df.term = tf.term JOIN shape ON shape.sid = tf.sid WHERE tf.idx > 0 GROUP BY ALL),
+every AS (SELECT a.sid, a.idx, coalesce(s, 0.0::DOUBLE) AS s FROM alldocs a LEFT JOIN scored USING (sid, idx) WHERE a.idx > 0)"""
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten queries against the documents of one source: what is ranked for a sample is its repository."""
+    asked = table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("sample_id"), text.words(F.col("text")).alias("tokens"))
+    docs = table(spark, sf_dir, "documents").where("source = 'src0'").select((F.col("doc_id") + 1).alias("doc_idx"), text.words(F.col("text")).alias("tokens"))
+    corpus = docs.join(F.broadcast(asked.select("sample_id")))  # ten ids
+    return relevance.bm25(corpus, asked)
+
+
+@query(BM25_SQL + " SELECT sid AS sample_id, idx AS doc_idx, round(s, 6) AS bm25 FROM every")
+def bm25_scores(spark, sf_dir):
+    return _bm25(spark, sf_dir).select("sample_id", "doc_idx", F.round("bm25", 6).alias("bm25"))
+
+
+@query(BM25_SQL + """, rel AS (SELECT sid, idx, round(s, 9) / nullif(sum(round(s, 9)) OVER (PARTITION BY sid), 0) AS r FROM every)
+SELECT sid AS sample_id, idx AS doc_idx, round(r, 6) AS relevance, row_number() OVER (PARTITION BY sid ORDER BY round(r, 9) DESC NULLS FIRST, idx DESC) AS rank FROM rel""")
+def bm25_rank(spark, sf_dir):
+    ranked = relevance.ranked(_bm25(spark, sf_dir).withColumn("bm25", F.round("bm25", 9)))
+    return ranked.select("sample_id", "doc_idx", F.round(F.nanvl("relevance", F.lit(None).cast("double")), 6).alias("relevance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT page_id, CAST(len(list_filter(['index', 'page', 'a', 'site'], lambda m: contains(url || '/' || (['index', 'page', 'main'])[CAST(page_id % 3 + 1 AS INT)] || '.py', m || '.py'))) AS INT) AS hits FROM pages""")
+def import_dependency_boost(spark, sf_dir):
+    path = F.concat("url", F.lit("/"), F.element_at(F.array(*map(F.lit, ("index", "page", "main"))), (F.col("page_id") % 3 + 1).cast("int")), F.lit(".py"))
+    return table(spark, sf_dir, "pages").select("page_id", relevance.import_hits(path, F.array(*map(F.lit, ("index", "page", "a", "site")))).alias("hits"))
+
+
+@query("""SELECT source, doc_id, count(*) OVER (PARTITION BY source) - 1 AS others, CAST(sum(length(text)) OVER (PARTITION BY source) - length(text) AS BIGINT) AS other_chars FROM documents""")
+def context_complement(spark, sf_dir):
+    return relevance.complement(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", "doc_id")
+
+
+@query("""WITH h AS (SELECT source AS repo, doc_id % 7 AS stem, doc_id AS h, row_number() OVER (PARTITION BY source, doc_id % 7 ORDER BY doc_id) AS k FROM documents WHERE doc_id % 3 = 0),
+i AS (SELECT source AS repo, doc_id % 7 AS stem, doc_id AS i, row_number() OVER (PARTITION BY source, doc_id % 7 ORDER BY doc_id) AS k FROM documents WHERE doc_id % 3 > 0)
+SELECT coalesce(h.repo, i.repo) AS repo, coalesce(h.stem, i.stem) AS stem, h AS header, i AS impl FROM h FULL JOIN i ON h.repo = i.repo AND h.stem = i.stem AND h.k = i.k""")
+def header_impl_pairs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), (F.col("doc_id") % 7).alias("stem"), "doc_id")
+    return relevance.header_pairs(docs.where("doc_id % 3 = 0").withColumnRenamed("doc_id", "header"), docs.where("doc_id % 3 > 0").withColumnRenamed("doc_id", "impl"))
+
+
+@query("""WITH m(model, url, temperature) AS (VALUES ('click', 'http://a', 0.7::DOUBLE), ('view', 'http://b', 0.2))
+SELECT event_type AS model, coalesce(url, '') AS url, temperature, url IS NOT NULL AS listed, count(*) AS n FROM events LEFT JOIN m ON model = event_type GROUP BY ALL""")
+def model_registry_join(spark, sf_dir):
+    registry = spark.createDataFrame([("click", "http://a", 0.7), ("view", "http://b", 0.2)], "model string, url string, temperature double")
+    used = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("n"))
+    return used.join(F.broadcast(registry), "model", "left").select("model", F.coalesce("url", F.lit("")).alias("url"), "temperature", F.col("url").isNotNull().alias("listed"), "n")
+
+
+_DENIED_SQL = " OR ".join(f"contains(p, '{x}')" for x in paths.denied("python"))
+
+
+@query(f"""WITH f AS (SELECT page_id, (['src/a.py', 'tests/b.py', 'docs/c.py', 'pkg/setup.py', 'x/y.java', 'lib/z.py'])[CAST(page_id % 6 + 1 AS INT)] AS p FROM pages)
+SELECT page_id, suffix(p, '.py') AND NOT ({_DENIED_SQL}) AS kept FROM f""")
+def deny_path_filter(spark, sf_dir):
+    path = F.element_at(F.array(*map(F.lit, ("src/a.py", "tests/b.py", "docs/c.py", "pkg/setup.py", "x/y.java", "lib/z.py"))), (F.col("page_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", paths.is_source(path, "python").alias("kept"))
+
+
+@query("""SELECT page_id, suffix(url, '.html') OR suffix(url, '.htm') AS html, NOT (starts_with(split_part(url, '/', 3), '.') OR split_part(url, '/', 3) = 'build') AS repo_kept FROM pages""")
+def extension_filter(spark, sf_dir):
+    html = F.lit(False)
+    for ending in paths.EXTENSIONS["html"]:
+        html = html | F.endswith("url", F.lit(ending))
+    repo = F.split_part("url", F.lit("/"), F.lit(3))
+    return table(spark, sf_dir, "pages").select("page_id", html.alias("html"), (~F.startswith(repo, F.lit(".")) & (repo != "build")).alias("repo_kept"))
+
+
+_VALUES = lambda names: ", ".join(f"('{n}')" for n in names)
+
+
+@query(f"""SELECT language, level FROM (VALUES {_VALUES(paths.LANGUAGES)}) AS a(language), (VALUES {_VALUES(paths.LEVELS)}) AS b(level)
+WHERE (language, level) NOT IN ({", ".join(map(str, paths.EXCLUDED))})""")
+def task_matrix(spark, sf_dir):
+    every = spark.createDataFrame([(a,) for a in paths.LANGUAGES], "language string").withColumn("level", F.explode(F.array(*map(F.lit, paths.LEVELS))))
+    return every.join(spark.createDataFrame(list(paths.EXCLUDED), "language string, level string"), ["language", "level"], "left_anti")
+
+
+@query("""WITH g AS (SELECT doc_id, text, (['class', 'function', 'block', 'line'])[CAST(doc_id % 4 + 1 AS INT)] AS grain, len(string_split(text, chr(10))) AS n FROM documents)
+SELECT doc_id, CASE WHEN length(text) = 0 THEN false WHEN grain = 'line' THEN n >= 5 AND length(text) >= 10 ELSE n >= 10 END AS passes FROM g""")
+def quality_gate(spark, sf_dir):
+    grain = F.element_at(F.array(*map(F.lit, score.GRAINS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", quality.passes_gate(F.col("text"), grain).alias("passes"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, text, list_transform(string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)), lambda x: length(x)) AS l FROM documents),
+f AS (SELECT doc_id, list_avg(l) AS a, list_max(l) AS x, len(regexp_extract_all(text, '[\p{L}\p{N}]'))::DOUBLE / nullif(length(text), 0) AS an, len(regexp_extract_all(text, '\p{L}'))::DOUBLE / nullif(length(text), 0) AS al, len(regexp_extract_all(text, '\S+')) AS n FROM m)
+SELECT doc_id, coalesce(a > 1 AND a < 50 AND x > 1 AND x < 100 AND an > 0.1 AND an < 1 AND al > 0.1 AND al < 1 AND n > 10 AND n < 1024, false) AS kept FROM f""")
+def code_quality_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", quality.good_code(F.col("text")).alias("kept"))
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)")
+def md5_dedup(spark, sf_dir):
+    return quality.keep_first(table(spark, sf_dir, "documents").select("doc_id", "text"), F.md5(F.col("text").cast("binary")), "doc_id").select("doc_id")
+
+
+@query(r"SELECT source, count(DISTINCT regexp_replace(text, '^\s+|\s+$', '', 'g')) AS n FROM documents GROUP BY source")
+def distinct_middle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", text.strip(F.col("text")).alias("middle"))
+    return docs.dropDuplicates(["source", "middle"]).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents QUALIFY rank <= 5")
+def first_n_per_repo(spark, sf_dir):
+    return quality.first_n(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 5).select("source", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT user_id, min(event_id) FILTER (value > 50) AS first_success, bool_or(event_type = 'error') AS any_error FROM events GROUP BY user_id")
+def retry_first_success(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(F.when(F.col("value") > 50, F.col("event_id"))).alias("first_success"), F.bool_or(F.col("event_type") == "error").alias("any_error"))
+
+
+_U = "('0x' || substr(md5(doc_id || ':' || {}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"""WITH w AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS wc, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS wf, {_U.format("'s'")} AS u FROM documents)
+SELECT doc_id, CASE WHEN wc + wf = 0 THEN NULL WHEN wc > 0 AND u * (wc + wf) < wc THEN 'class' ELSE CASE WHEN wf > 0 THEN 'function' END END AS grain FROM w""")
+def weighted_grain_sample(spark, sf_dir):
+    counts = {"class": F.col("doc_id") % 3, "function": F.col("doc_id") % 5}
+    return table(spark, sf_dir, "documents").select("doc_id", quality.weighted_choice({"class": 1, "function": 2}, counts, F.col("doc_id"), F.lit("s")).alias("grain"))
+
+
+@query(r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g'), '<(div|section|article|header|footer|nav|main|aside|form|table|ul|ol|dl|span|a|strong|em|b|i|u|small|mark|del|ins|sub|sup|code|kbd|samp|var|time|data)[\s>]', 1)) AS tag FROM pages)
+SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL""")
+def html_elements(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("code"), F.lit("html").alias("language"))
+    found = nodes.exploded(nodes.with_nodes(pages)).where(F.col("tag").isin(*nodes.BLOCK_TAGS, *nodes.LINE_TAGS))
+    return found.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT l_orderkey AS tree, l_linenumber AS id, l_linenumber * 10 AS s, l_linenumber * 10 + 25 AS e FROM lineitem)
+SELECT a.tree, a.id, count(*) AS parts FROM n a JOIN n b ON a.tree = b.tree AND b.s >= a.s AND b.e <= a.e GROUP BY ALL""")
+def subpart_intervals(spark, sf_dir):
+    spans = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), F.col("l_linenumber").alias("id"), (F.col("l_linenumber") * 10).alias("s"), (F.col("l_linenumber") * 10 + 25).alias("e"))
+    inner = spans.select("tree", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    return spans.join(inner, "tree").where("s2 >= s and e2 <= e").groupBy("tree", "id").agg(F.count("*").alias("parts"))
+
+
+@query()
+def subpart_perturb(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("code"), F.lit("html").alias("language"))
+    every = nodes.classify(nodes.exploded(nodes.with_nodes(pages)))
+    of, label = nodes.grain(F.col("category"), F.col("tag"))
+    slim = every.withColumns({"grain": of, "sub_task": label}).where("grain is not null").select("file", "grain", "sub_task", "id", "start_byte", "end_byte")
+    return nodes.perturbed(nodes.sample_nodes(slim, ["file", "grain"]), slim, "file").select("file", "grain", "sub_task", "id", "start_byte", "end_byte")
+
+
+@query(r"""WITH a AS (SELECT doc_id, text, length(text) // 3 AS s, 2 * length(text) // 3 AS e FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))
+SELECT doc_id, substr(text, 1, s) AS prefix, substr(text, s + 1, e - s) AS middle, substr(text, e + 1) AS suffix FROM a""")
+def fim_mask(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    n = F.octet_length("text")
+    return docs.select("doc_id", text.masked(F.col("text"), F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")).alias("m")).select("doc_id", "m.*")
+
+
+_TYPES = ("import_statement", "comment", "if_statement", "for_in_statement", "while_statement", "return_expression", "expression_statement", "assignment", "struct_specifier", "method_declaration", "identifier")
+_EXPECTED = ("import", "comment", "if", "for", "while", "return", "expression", "assignment", "class", "function", None)
+
+
+@query(f"""WITH n AS (SELECT p_partkey, ({list(_TYPES)})[CAST(p_partkey % 11 + 1 AS INT)] AS type, CAST(p_partkey % 11 AS INT) AS k FROM part)
+SELECT type, nullif(({[x or "" for x in _EXPECTED]})[k + 1], '') AS category, nullif((['block', '', 'block', 'block', 'block', 'line', 'line', 'line', 'class', 'function', ''])[k + 1], '') AS grain, count(*) AS n FROM n GROUP BY ALL""")
+def node_classify(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % 11 + 1).cast("int")).alias("type"), F.lit(None).cast("string").alias("tag"))
+    of, _ = nodes.grain(F.col("category"), F.col("tag"))
+    return nodes.classify(parts).groupBy("type", "category", of.alias("grain")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, (['GPT-x', 'other'])[CAST(turn % 2 + 1 AS INT)] AS made FROM conversations)
+SELECT conv_id, turn, CASE WHEN lower(made) = 'gpt-x' THEN 'passed' ELSE 'scored' END AS how FROM t""")
+def passthrough_union(spark, sf_dir):
+    made = F.element_at(F.array(F.lit("GPT-x"), F.lit("other")), (F.col("turn") % 2 + 1).cast("int"))
+    same, others = prompt.split_solved(table(spark, sf_dir, "conversations").select("conv_id", "turn", made.alias("created_task_model"), F.lit("gpt-X").alias("model")))
+    return same.withColumn("how", F.lit("passed")).unionByName(others.withColumn("how", F.lit("scored"))).select("conv_id", "turn", "how")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE props END AS answer, CASE WHEN event_type = 'error' THEN 'ValueError: no answer' END AS error FROM events")
+def error_rows(spark, sf_dir):
+    def client(messages, model):
+        if model == "error":
+            raise ValueError("no answer")
+        return messages[-1]["content"]
+
+    one = F.array(F.struct(F.lit("user").alias("role"), F.col("props").alias("content")))
+    tasks = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("sample_id"), F.col("event_type").alias("model"), one.alias("messages"))
+    return prompt.infer(tasks, client).select(F.col("sample_id").cast("long").alias("event_id"), "answer", "error")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem")
+def partition_map(spark, sf_dir):
+    def task(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [len(frame)], "total": [int(frame["l_linenumber"].sum())]})
+
+    chunks = nodes.partition_map(table(spark, sf_dir, "lineitem").select("l_linenumber"), task, "n long, total long")
+    return chunks.agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+# --- Python backends, files, streams ---------------------------------------------------------------------------------
+
+_CODE = [
+    ("m.py", "python", "import os\nimport a.b\nfrom .c import d, e\nclass A(B):\n    def f(self, x: int) -> int:\n        return x\n\ndef g(y):\n    return y\n"),
+    ("A.java", "java", "import x.Y;\nclass A extends B {\n  int n;\n  int f(int x) { return x; }\n}\n"),
+    ("a.cpp", "cpp", "#include <x>\nclass A {\npublic:\n  int f(int x) { return x; }\n};\n"),
+    ("m.rb", "ruby", "class A\n  def f(x)\n    x\n  end\nend\n"),
+]
+
+
+def _code(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_CODE, "path string, language string, code string")
+
+
+@query()
+def python_imports(spark, sf_dir):
+    return _code(spark).where("language = 'python'").select("path", F.array_join(nodes.python_imports()("code"), ",").alias("modules"))
+
+
+@query()
+def class_skeleton(spark, sf_dir):
+    from codegrain.operators.skeletons import class_skeleton_udf
+
+    return _code(spark).select("path", class_skeleton_udf()("code", "language").alias("skeleton"))
+
+
+@query()
+def function_skeleton(spark, sf_dir):
+    from codegrain.operators.skeletons import function_skeleton_udf
+
+    return _code(spark).select("path", function_skeleton_udf()("code", "language").alias("skeleton"))
+
+
+@query()
+def cpp_merge(spark, sf_dir):
+    from codegrain.operators.skeletons import merge_class_udf
+
+    pair = spark.createDataFrame([("class A {\npublic:\n  int f(int x);\n  int n;\n};", "int A::f(int x) { return x + 1; }", "A")], "header string, source string, name string")
+    return pair.select(merge_class_udf()("header", "source", "name").alias("code"))
+
+
+@query()
+def construct_tasks(spark, sf_dir):
+    from codegrain.plans.construct import tasks
+
+    pages = table(spark, sf_dir, "pages").select(F.lit("site").alias("repo_name"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("html").alias("language"), F.replace("html", F.lit("><"), F.lit(">\n<")).alias("code"))
+    return tasks(pages)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def jsonl_roundtrip(spark, sf_dir):
+    from codegrain.sources.shared import scratch
+
+    path = scratch(spark) + "/events.jsonl"
+    jsonl.write_jsonl(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), path)
+    spark.range(1).select(F.lit('{"event_id": 1, "user').alias("value")).union(spark.range(1).select(F.lit(""))).write.mode("append").text(path)
+    return jsonl.read_jsonl(spark, path, "event_id long, user_id long, event_type string").where("event_id is not null")
+
+
+@query("SELECT doc_id, length(text) AS n, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines FROM documents")
+def stream_score(spark, sf_dir):
+    from codegrain.sources.shared import scratch
+    from codegrain.streaming.score import score_available, stream
+
+    schema = table(spark, sf_dir, "documents").schema
+    plan = lambda rows: rows.select("doc_id", F.length("text").cast("long").alias("n"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    base = scratch(spark)
+    score_available(stream(spark, f"{sf_dir}/documents.parquet*", schema), plan, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema("doc_id long, n long, n_lines long").parquet(f"{base}/out")
