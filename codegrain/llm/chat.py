@@ -56,7 +56,7 @@ def paths(messages: DataFrame) -> DataFrame:
 def render(turns: Column, trained: str) -> Column:
     """struct(formatted, spans) of an array of struct(role, text)."""
     # offsets follow from the lengths of the turns before: a running state, appended turn by turn
-    pieces = F.transform(turns, lambda t: F.struct((F.lit(START + "").cast("string")).alias("open"), F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == trained).alias("on")))
+    pieces = F.transform(turns, lambda t: F.struct(F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == trained).alias("on")))
     formatted = lambda p: F.array_join(F.transform(p, lambda x: F.concat(x["head"], x["body"], F.lit(END + "\n"))), "")
     none = F.array().cast("array<struct<start:bigint,length:bigint>>")
 

@@ -67,12 +67,11 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of documents."""
-    columns = docs.columns
-    planned = mix_plan(docs, **options)
-    (copy,) = fresh(planned, "copy")
-    wanted = planned.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return wanted.select(*columns)
+    """The mix itself: each document as often as it is taken, with the columns of documents, whatever their names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    planned = mix_plan(docs.select("doc_id", "text", "source", row), **options)
+    wanted = planned.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return wanted.select("row.*")
 
 
 ORACLE = r"""

@@ -47,6 +47,7 @@ def test_plan_holds_on_odd_rows(spark):
     out = mix(docs)
     assert out.columns == docs.columns
     assert out.count() == sum(r["copies"] for r in plan)
+    assert {r["size"] for r in out.where("size is not null").collect()} == {"x"}
 
 
 def test_no_documents(spark):
