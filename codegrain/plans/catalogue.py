@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codegrain.functions import comments, similarity, text
-from codegrain.operators import nodes, paths, quality, relevance
+from codegrain.operators import nodes, paths, quality, registry, relevance
 from codegrain.plans import prompt, score
 from codegrain.sources import jsonl
 
@@ -458,6 +458,59 @@ def partition_map(spark, sf_dir):
     return chunks.agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
+@query("""WITH p AS (SELECT page_id, 'bench/' || (['python', 'go'])[CAST(page_id % 2 + 1 AS INT)] || '/r' || page_id || '_class_bench.jsonl' AS path FROM pages)
+SELECT page_id, 'result/' || split_part(path, '/', 2) || '/m/inference/' || replace(split_part(path, '/', 3), '.jsonl', '') || '_inference_result.jsonl' AS inference,
+       'result/' || split_part(path, '/', 2) || '/m/similarity/' || replace(split_part(path, '/', 3), '.jsonl', '') || '_similarity_result.jsonl' AS similarity FROM p""")
+def result_paths(spark, sf_dir):
+    language = F.when(F.col("page_id") % 2 == 0, "python").otherwise("go")
+    path = F.concat(F.lit("bench/"), language, F.lit("/r"), F.col("page_id").cast("string"), F.lit("_class_bench.jsonl"))
+    made = table(spark, sf_dir, "pages").select("page_id", text.result_path(path, F.lit("m")).alias("inference"))
+    return made.withColumn("similarity", text.similarity_path(F.col("inference")))
+
+
+@query("SELECT page_id, replace(url, 'https://', '') AS path FROM pages")
+def relative_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.relative_path(F.col("url"), F.lit("https://")).alias("path"))
+
+
+@query("""WITH x(model, url, temperature, inf) AS (VALUES ('click', 'http://x', NULL::DOUBLE, true)), d(model, url, temperature, inf) AS (VALUES ('click', 'http://d', 0.7::DOUBLE, false), ('view', 'http://v', 0.1, false)),
+n AS (SELECT DISTINCT event_type AS model FROM events)
+SELECT model, coalesce(x.url, d.url, '') AS url, coalesce(x.temperature, d.temperature) AS temperature, coalesce(x.inf, d.inf, false) AS if_inference FROM n LEFT JOIN x USING (model) LEFT JOIN d USING (model)""")
+def config_precedence(spark, sf_dir):
+    schema = "model string, url string, api_key string, model_name string, if_inference boolean, temperature double"
+    external = spark.createDataFrame([("click", "http://x", None, None, True, None)], schema)
+    default = spark.createDataFrame([("click", "http://d", None, None, False, 0.7), ("view", "http://v", None, None, False, 0.1)], schema)
+    names = table(spark, sf_dir, "events").select(F.col("event_type").alias("model")).distinct()
+    return registry.resolve(names, external, default).select("model", "url", "temperature", "if_inference")
+
+
+@query("SELECT event_id, event_type AS model FROM events WHERE event_type IN ('click', 'VIEW')")
+def model_allow_list(spark, sf_dir):
+    listed = spark.createDataFrame([("click",), ("VIEW",)], "model string")
+    return registry.allowed(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("model")), listed)
+
+
+@query("""WITH t AS (SELECT item_id, a, r FROM benchmark, range(6) AS x(a), range(3) AS y(r) WHERE ('0x' || substr(md5(item_id || ':' || a || ':' || r), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.4)
+SELECT item_id, CAST(a AS INT) AS attempt, CAST(min(r) AS INT) AS try FROM t GROUP BY ALL""")
+def attempts_and_retries(spark, sf_dir):
+    tried = registry.attempts(table(spark, sf_dir, "benchmark").select("item_id"), wanted=2)
+    return registry.first_success(tried.withColumn("ok", text.uniform(F.col("item_id"), F.col("attempt"), F.col("try")) < 0.4), ["item_id"], "ok")
+
+
+@query("SELECT doc_id, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS longest, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines FROM documents")
+def line_metrics(spark, sf_dir):
+    lines = F.transform(F.split("text", "\n"), lambda x: F.length(x).cast("long"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_max(lines).alias("longest"), F.size(lines).alias("n_lines"))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term HAVING count(DISTINCT doc_id) > 20""")
+def document_frequency(spark, sf_dir):
+    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.lower("text"))).alias("term"))
+    by_doc = terms.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    return by_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where("df > 20")
+
+
 # --- Python backends, files, streams ---------------------------------------------------------------------------------
 
 _CODE = [
