@@ -121,8 +121,8 @@ def word_vectors(docs: DataFrame, seed: int = 11) -> np.ndarray:
 
     each = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, "block int, part int, sums binary")
     out = np.zeros((SLOTS // BLOCK, BLOCK * DIMS))
-    for row in _summed(_summed(each, "block", "part"), "block").collect():  # slots x dims numbers, for the second sum at most 16 times
-        out[row["block"]] += np.frombuffer(row["sums"])
+    for row in _summed(_summed(each, "block", "part").withColumn("part", F.lit(0)), "block", "part").collect():  # slots x dims numbers
+        out[row["block"]] = np.frombuffer(row["sums"])
     vectors = out.reshape(SLOTS, DIMS)
     vectors[BREAK] = 0
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -207,17 +207,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, seed: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [pooled(tokens(t.as_py()), sent.value).astype(np.float64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
+            rows = [pooled(tokens(t.as_py()), sent.value).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["label", "x"])
 
     # about max_rows rows of two numbers: small whatever the corpus is
     chosen = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("id_")).select("label_", "text")
-    rows = sorted(chosen.mapInArrow(run, "label double, x array<double>").collect(), key=lambda r: (r["label"], r["x"]))
+    rows = sorted(chosen.mapInArrow(run, "label double, x binary").collect(), key=lambda r: (r["label"], r["x"]))
     y = np.array([r["label"] for r in rows])
     prior = float(y.mean()) if len(y) else 0.5
     if len(set(y)) < 2:
         return Model(vectors, None, prior)
-    return Model(vectors, fit(np.array([r["x"] for r in rows]), y), prior)
+    return Model(vectors, fit(np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), -1).astype(np.float64), y), prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
