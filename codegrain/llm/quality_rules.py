@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from codegrain.llm.common import SPACE, WORD, fresh
 
-#: Rows that the estimate looks at; they are the first of the table, so no more is read for them.
-SAMPLE_ROWS = 2_000
+#: Rows that the estimate looks at, the first of the table: no more is read for them, and nothing is shuffled.
+SAMPLE_ROWS = 512
 
 
 def let(value: Column, body) -> Column:
@@ -129,7 +129,8 @@ def ready(name: str) -> Column:
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, share rejected, seconds for a row) on the first sample_rows rows."""
-    sample = docs.select(F.col("text").cast("string").alias("text")).limit(sample_rows).cache()
+    first = docs.select(F.col("text").cast("string").alias("text")).take(sample_rows)
+    sample = docs.sparkSession.createDataFrame(first, "text string").cache()
     try:
         n = max(1, sample.count())
         out = []
