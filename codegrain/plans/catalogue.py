@@ -48,6 +48,13 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.join(chat.withColumnRenamed("t", "b"), ["conv_id", "turn"]).where("length(a) + length(b) > 0")
 
 
+def _whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with the one before it, whole and with all characters."""
+    chat = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
+    before = chat.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("t").alias("a"))
+    return before.join(chat.withColumnRenamed("t", "b"), ["conv_id", "turn"]).where("length(a) + length(b) > 0")
+
+
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).withColumn("score", similarity.char_similarity(F.col("a"), F.col("b")))
 
@@ -232,7 +239,7 @@ def jaccard_pairs(spark, sf_dir):
 @query()
 def fuzzy_ratio(spark, sf_dir):
     ratio = similarity.fuzzy_ratio()
-    return _pairs(spark, sf_dir).select("conv_id", "turn", ratio("a", "b").alias("ratio")).groupBy("conv_id").agg(F.round(F.avg("ratio"), 6).alias("mean_ratio"))
+    return _whole_pairs(spark, sf_dir).select("conv_id", "turn", ratio("a", "b").alias("ratio")).groupBy("conv_id").agg(F.round(F.avg("ratio"), 6).alias("mean_ratio"))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 10), s AS (
