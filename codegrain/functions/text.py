@@ -118,8 +118,14 @@ def similarity_path(path: Column) -> Column:
 
 
 def masked(code: Column, start: Column, end: Column) -> Column:
-    """struct(prefix, middle, suffix) by byte offsets, which join to the code again."""
+    """struct(prefix, middle, suffix) by byte offsets, which join to the code again.
+
+    An offset inside a character moves back to where the character begins.
+    """
     raw = F.encode(code, "UTF-8")
+    inside = lambda at: F.hex(F.substring(raw, at + 1, F.lit(1))).between("80", "BF")
+    border = lambda at: F.when(~inside(at), at).when(~inside(at - 1), at - 1).when(~inside(at - 2), at - 2).otherwise(at - 3)
+    start, end = border(start), border(end)
     cut = lambda at, n: F.decode(F.substring(raw, at, n), "UTF-8")
     return F.struct(cut(F.lit(1), start).alias("prefix"), cut(start + 1, end - start).alias("middle"), cut(end + 1, F.octet_length(code) - end).alias("suffix"))
 

@@ -411,6 +411,13 @@ def subpart_perturb(spark, sf_dir):
     return nodes.perturbed(nodes.sample_nodes(slim, ["file", "grain"]), slim, "file").select("file", "grain", "sub_task", "id", "start_byte", "end_byte")
 
 
+@query()
+def fim_mask_whole(spark, sf_dir):
+    """fim_mask on documents in any script; its SQL, which cuts by characters, knows ASCII ones only."""
+    n = F.octet_length("text")
+    return table(spark, sf_dir, "documents").select("doc_id", text.masked(F.col("text"), F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")).alias("m")).select("doc_id", "m.*")
+
+
 @query(r"""WITH a AS (SELECT doc_id, text, length(text) // 3 AS s, 2 * length(text) // 3 AS e FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))
 SELECT doc_id, substr(text, 1, s) AS prefix, substr(text, s + 1, e - s) AS middle, substr(text, e + 1) AS suffix FROM a""")
 def fim_mask(spark, sf_dir):

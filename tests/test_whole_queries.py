@@ -26,3 +26,15 @@ def test_fuzzy_ratio_of_whole_texts(spark, made):
     want = {i: float(round(100 * SequenceMatcher(None, turns[2 * i], turns[2 * i + 1], autojunk=False).ratio())) for i in range(2)}
     assert {r["conv_id"]: r["mean_ratio"] for r in QUERIES["fuzzy_ratio"](spark, base).collect()} == want
     assert want[0] == 60
+
+
+def test_masks_fall_on_character_borders(spark, made):
+    got = {r["doc_id"]: (r["prefix"], r["middle"], r["suffix"]) for r in QUERIES["fim_mask_whole"](spark, made[0]).collect()}
+    for i, t in enumerate(TEXTS):
+        raw = t.encode()
+        cuts = []
+        for at in (len(raw) // 3, 2 * len(raw) // 3):
+            while at < len(raw) and raw[at] & 0xC0 == 0x80:
+                at -= 1
+            cuts.append(at)
+        assert got[i] == (raw[: cuts[0]].decode(), raw[cuts[0] : cuts[1]].decode(), raw[cuts[1] :].decode())
