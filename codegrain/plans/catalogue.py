@@ -525,6 +525,14 @@ def document_frequency(spark, sf_dir):
     return by_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where("df > 20")
 
 
+@query()
+def document_frequency_whole(spark, sf_dir):
+    """document_frequency of every term; its SQL keeps those in more than 20 documents."""
+    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.lower("text"))).alias("term"))
+    by_doc = terms.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
+    return by_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+
+
 # --- Python backends, files, streams ---------------------------------------------------------------------------------
 
 _CODE = [

@@ -38,3 +38,10 @@ def test_masks_fall_on_character_borders(spark, made):
                 at -= 1
             cuts.append(at)
         assert got[i] == (raw[: cuts[0]].decode(), raw[cuts[0] : cuts[1]].decode(), raw[cuts[1] :].decode())
+
+
+def test_every_term_is_counted(spark, made):
+    words = [re.findall(r"\w+", t.lower()) for t in TEXTS]
+    df, tf = Counter(w for ws in words for w in set(ws)), Counter(w for ws in words for w in ws)
+    got = {r["term"]: (r["df"], r["tf"]) for r in QUERIES["document_frequency_whole"](spark, made[0]).collect()}
+    assert got == {w: (df[w], tf[w]) for w in df}
