@@ -132,6 +132,12 @@ def strip_hash_comments(spark, sf_dir):
     return docs.select("doc_id", comments.strip_comments(F.col("text"), "r", blank_lines=False).alias("code"))
 
 
+@query()
+def strip_hash_comments_whole(spark, sf_dir):
+    """strip_hash_comments on all documents; its SQL leaves out those without '#' and with one at the start of a line."""
+    return table(spark, sf_dir, "documents").select("doc_id", comments.strip_comments(F.col("text"), "r", blank_lines=False).alias("code"))
+
+
 @query(r"SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS code FROM pages")
 def strip_html_comments(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", comments.strip_comments(F.col("html"), "html", blank_lines=False).alias("code"))

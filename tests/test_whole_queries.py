@@ -45,3 +45,11 @@ def test_every_term_is_counted(spark, made):
     df, tf = Counter(w for ws in words for w in set(ws)), Counter(w for ws in words for w in ws)
     got = {r["term"]: (r["df"], r["tf"]) for r in QUERIES["document_frequency_whole"](spark, made[0]).collect()}
     assert got == {w: (df[w], tf[w]) for w in df}
+
+
+def test_comments_go_from_every_document(spark, made):
+    got = {r["doc_id"]: r["code"] for r in QUERIES["strip_hash_comments_whole"](spark, made[0]).collect()}
+    for i, t in enumerate(TEXTS):
+        for f in comments.FORMS["r"]:
+            t = re.sub(comments.PATTERNS[f], "", t, flags=re.M | re.S)
+        assert got[i] == t
