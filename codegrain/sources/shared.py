@@ -1,17 +1,46 @@
-"""A folder for intermediate files that driver and executors share."""
+"""Folders for intermediate files that driver and executors share."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder; a local one is made only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+@functools.cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="codegrain-")
+
+
+def _home(spark: SparkSession) -> str:
+    """Where all of this application's folders are.
+
+    The base is spark.checkpoint.dir. Without it a session that runs in one process uses a temporary folder; a cluster,
+    whose executors could not read that, is an error.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="codegrain-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _local_base()
+    return f"{base.rstrip('/')}/codegrain-{sc.applicationId}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder, to be made by what is written there."""
+    return f"{_home(spark)}/{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of scratch() with all its files, wherever Spark keeps it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; for when its results have been consumed."""
+    discard(spark, _home(spark))
