@@ -1,21 +1,21 @@
-"""Connected components by hooking and contraction, on tables in the shared folder."""
+"""Connected components by hooking and contraction, on tables in the shared folder, and what follows from them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import stored
+from codegrain.llm.common import Stored, fresh, row_hash, stored
 
 
-def _roots(parents: DataFrame) -> DataFrame:
+def _roots(parents: DataFrame, keep: Stored) -> DataFrame:
     """(id, parent) with parent < id, followed to the roots by pointer doubling."""
     while True:
         up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
-        jumped = stored(parents.join(up, "parent", "left").select("id", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("moved")))
-        parents = jumped.select("id", "parent")
+        jumped = keep(parents.join(up, "parent", "left").select("id", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("moved")))
         if jumped.where("moved").isEmpty():
-            return parents
+            return jumped.select("id", "parent")
+        parents = jumped.select("id", "parent")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,16 +25,19 @@ def components(edges: DataFrame) -> DataFrame:
     edges to what still joins different roots. Minima and distinct rows are combined before they are shuffled, so a
     node with very many edges costs no task more than another. Null ends and loops are dropped; no edges, no rows.
     """
-    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    keep = Stored(edges.sparkSession)
+    edges = keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while not edges.isEmpty():
-        roots = _roots(stored(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))))
+        roots = _roots(keep(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))), keep)
         first = roots.select(F.col("id").alias("a"), F.col("parent").alias("ra"))
         second = roots.select(F.col("id").alias("b"), F.col("parent").alias("rb"))
-        labels = roots if labels is None else stored(_relabelled(labels, roots))
+        labels = roots if labels is None else keep(_relabelled(labels, roots))
         a, b = F.coalesce("ra", "a"), F.coalesce("rb", "b")
         joined = edges.join(first, "a", "left").join(second, "b", "left").select(a.alias("x"), b.alias("y")).where("x <> y")
-        edges = stored(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = keep(joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        keep.drop(edges)
+        edges = left
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     own = labels.select(F.col("parent").alias("id")).distinct().join(labels.select("id"), "id", "left_anti").select("id", F.col("id").alias("component"))
@@ -48,9 +51,42 @@ def _relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
     return old.unionByName(roots.join(labels.select("id"), "id", "left_anti").select("id", "parent"))
 
 
+def numbered(prints: DataFrame) -> DataFrame:
+    """(id, node, doc_id, row) for prints (doc_id, row, node): each node once, with its first row by doc_id, nulls last,
+    and then by row. ids rise in the order of these rows, so the smallest id of a group is that of its first row."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    nodes = prints.groupBy("node").agg(first.alias("first"))
+    ordered = nodes.repartitionByRange("first", "node").sortWithinPartitions("first", "node")
+    return stored(ordered.select(F.monotonically_increasing_id().alias("id"), "node", "first.doc_id", "first.row"))
+
+
 def label_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component_id): for nodes (node long, first long), the smallest first of those reachable over edges."""
-    found = stored(components(edges))
-    named = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return named.join(least, "component").select("node", "component_id")
+    """(id, node, component_id, first) for numbered nodes and edges (a, b) between their ids, stored.
+
+    component_id is the doc_id of the first row reachable, first says that the node is the one that holds it. Ids are in
+    the order of rows, so the root of a group is the answer, and nothing is grouped by it.
+    """
+    found = stored(components(edges).where("id <> component"))
+    named = nodes.select("id", "node", "doc_id").join(found, "id", "left")
+    alone = named.where("component is null").select("id", "node", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    roots = nodes.select(F.col("id").alias("component"), F.col("doc_id").alias("component_id"))
+    joined = named.where("component is not null").join(roots, "component").select("id", "node", "component_id", F.lit(False).alias("first"))
+    return stored(alone.unionByName(joined))
+
+
+def first_of_groups(docs: DataFrame, nodes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The documents, one of each group: its first row by doc_id, nulls last, and then by a hash of the whole row.
+
+    All columns are as they were. Rows that are equal in every column are one document, of which one stays.
+    """
+    key, row = fresh(docs, "kept_key", "kept_row")
+    stay = nodes.join(labelled.where("first").select("id"), "id", "left_semi").select(F.col("doc_id").alias(key), F.col("row").alias(row))
+    marked = docs.withColumns({key: F.col("doc_id").cast("long"), row: row_hash(docs)})
+    kept = marked.join(stay, marked[key].eqNullSafe(stay[key]) & (marked[row] == stay[row]), "left_semi")
+    again = stored(kept.groupBy(key, row).count().where("count > 1").select(key, row))
+    if again.isEmpty():
+        return kept.drop(key, row)
+    same = kept[key].eqNullSafe(again[key]) & (kept[row] == again[row])
+    # map columns cannot be compared, so rows are told apart by key and row; equal ones are combined before the shuffle
+    once = kept.join(again, same, "left_semi").dropDuplicates([key, row])
+    return kept.join(again, same, "left_anti").unionByName(once).drop(key, row)

@@ -95,11 +95,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-def cut(docs: DataFrame, tokenizer: str, joined: bool, capacity: int, end_id: int) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, joined: bool, capacity: int, end_id: int, literal: bool = False) -> DataFrame:
     """Pieces of at most capacity tokens of each document, its end id counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, joined), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, joined, literal), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -128,14 +128,15 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part), pa.int32()), pa.array(rank, pa.int64())], names=[c.split()[0] for c in RANKED.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer: str, joined: bool = False, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, joined: bool = False, capacity: int = 2048, end_id: int = 0, literal: bool = False) -> DataFrame:
     """Packs documents (doc_id, text) into sequences; one row for each piece.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they come; a null doc_id is packed
-    like any other; other columns are ignored. No documents, no rows.
+    like any other; other columns are ignored. No documents, no rows. With literal, control strings of the vocabulary in a
+    text are ordinary text; else they become their ids.
     """
     spark = docs.sparkSession
-    pieces = stored(cut(docs, tokenizer, joined, capacity, end_id))
+    pieces = stored(cut(docs, tokenizer, joined, capacity, end_id, literal))
     keys = ["length", "doc_id", "piece", "ids_crc32"]
     ranked = stored(pieces.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_ranked, RANKED))
     # tasks hold ranges of lengths, so there are at most as many rows as tasks and lengths together

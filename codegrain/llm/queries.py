@@ -65,7 +65,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codegrain.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, most=4).drop("node")
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, most=4)
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

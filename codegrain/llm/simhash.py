@@ -10,6 +10,7 @@ each pair are tallied; pairs that reach the guaranteed minimum of four are verif
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,41 +20,70 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import fresh, stored
-from codegrain.llm.components import label_groups
+from codegrain.llm.common import row_hash, stored
+from codegrain.llm.components import first_of_groups, label_groups, numbered
 
 SEED = 42
-_CHUNK = 1 << 16
-
-
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """A bit is set if it is set in over half the shingle hashes (XXH64, seed 42); no words, no bit."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space parts words
-    if not words:
-        return 0
-    line = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, SEED)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes) - 1
-    begins = (ends - sizes + 1)[: len(words) - shingle + 1].tolist()
-    stops = ends[shingle - 1 :].tolist()
-    digest, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(begins), _CHUNK):
-        hashes = np.array([digest(line[b:e], SEED) for b, e in zip(begins[at : at + _CHUNK], stops[at : at + _CHUNK], strict=True)], "<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(begins), bitorder="little").view("<u8")[0])
+#: Bytes of a text that are in words at a time.
+PIECE = 1 << 17
+_GAP = re.compile(rb"[\t-\r ]")
+
+
+def shingle_hashes(text: bytes | memoryview, k: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the runs of k words in order, repeats included, in pieces; fewer words are one run, no words none.
+
+    Only A-Z are lower-cased and only ASCII white space parts words, so bytes will do. The text is cut at white space and
+    the last words of a piece are carried on, so memory doesn't grow with the text.
+    """
+    digest, carried, at, some = xxhash.xxh64_intdigest, [], 0, False
+    while at < len(text):
+        end = min(at + PIECE, len(text))
+        if end < len(text):
+            gap = _GAP.search(text, end)
+            end = gap.start() if gap else len(text)
+        words = carried + bytes(text[at:end]).lower().split()
+        at = end
+        if len(words) < k:
+            carried = words
+            continue
+        line = b" ".join(words)
+        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], stops[:-1] + 1])[: len(words) - k + 1]
+        yield np.array([digest(line[b:e], SEED) for b, e in zip(starts.tolist(), stops[k - 1 :].tolist(), strict=True)], np.uint64)
+        carried, some = words[len(words) - k + 1 :], True
+    if carried and not some:
+        yield np.array([digest(b" ".join(carried), SEED)], np.uint64)
+
+
+def as_bytes(text: pa.StringScalar) -> bytes | memoryview:
+    """A text as it lies in its batch; nothing for null."""
+    held = text.as_buffer()
+    return b"" if held is None else memoryview(held)
+
+
+def fingerprint(text: str | bytes | memoryview | None, shingle: int = 4) -> int:
+    """A bit is set if it is set in over half the shingle hashes; no words, no bit."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text.encode() if isinstance(text, str) else text or b"", shingle):
+        total += np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text) of documents."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(docs).alias("row"), F.col("text").cast("string").alias("text"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, node): the fingerprint of each whole text, as a signed long."""
+    """(doc_id, row, node): the fingerprint of each whole text, as a signed long; row tells rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "node"])
+            found = np.array([fingerprint(as_bytes(t), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], names=["doc_id", "row", "node"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long")
+    return texts(docs).mapInArrow(run, "doc_id long, row long, node long")
 
 
 def position_sets(n: int = 8) -> list[tuple[int, ...]]:
@@ -69,17 +99,18 @@ def position_sets(n: int = 8) -> list[tuple[int, ...]]:
 
 
 def forest(prints: np.ndarray, most: int, least_shared: int) -> list[tuple[int, int]]:
-    """Edges that join the unsigned fingerprints of one list as their links do: a star for each group of linked ones.
+    """Edges, as places, that join the unsigned fingerprints of one list as their links do: a star for each group of
+    linked ones.
 
     Each fingerprint is compared with those that no group has taken yet, so copies of one text, most of which link to
     the first, don't cost all their pairs.
     """
-    out, rest = [], prints
+    out, rest = [], np.arange(len(prints))
     while len(rest) > 1:
         first, rest = rest[0], rest[1:]
         todo = [first]
         while todo and len(rest):
-            differ = rest ^ todo.pop()
+            differ = prints[rest] ^ prints[todo.pop()]
             tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
             near = tally >= least_shared
             near[near] = np.bitwise_count(differ[near]) <= most
@@ -91,58 +122,55 @@ def forest(prints: np.ndarray, most: int, least_shared: int) -> list[tuple[int,
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(node arrays of the groups that end in a batch): rows come sorted by their first column."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The (node, id) columns of each group: rows come sorted by their first column."""
     key, kept = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        parts = np.split(nodes, cuts)
-        if keys[0] == key:
-            kept.append(parts[0])
-        else:
-            if kept:
-                yield np.concatenate(kept)
-            kept = [parts[0]]
-        for part in parts[1:]:
-            yield np.concatenate(kept) if len(kept) > 1 else kept[0]
-            kept = [part]
-        key = keys[-1]
+        keys, pairs = batch.column(0).to_numpy(), np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()])
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            if kept and keys[begin] != key:
+                yield np.concatenate(kept, axis=1) if len(kept) > 1 else kept[0]
+                kept = []
+            key = keys[begin]
+            kept.append(pairs[:, begin:end])
     if kept:
-        yield np.concatenate(kept)
+        yield np.concatenate(kept, axis=1)
 
 
 def links(nodes: DataFrame, most: int = 4, block: int = 1024) -> DataFrame:
-    """(a, b): edges that join distinct fingerprints (node long) as all pairs with at most `most` differing bits do.
+    """(a, b): edges between the ids of distinct fingerprints (id long, node long) that join them as all pairs with at most
+    `most` differing bits do.
 
     Lists of more than `block` fingerprints are cut into blocks, and each pair of blocks is a group of its own, so no
-    task gets a whole long list.
+    task gets a whole long list; the join that tells how long a list is has no state, so a long one is dealt to several
+    tasks there too.
     """
     if most > 4:
         raise ValueError("the index guarantees pairs up to four differing bits")
     byte = [F.shiftrightunsigned("node", 8 * p).bitwiseAND(255) for p in range(8)]
     keys = [F.lit(i << 24) + byte[x] * 65536 + byte[y] * 256 + byte[z] for i, (x, y, z) in enumerate(position_sets())]
-    listed = nodes.select("node", F.explode(F.array(*keys)).alias("list"))
+    listed = nodes.select("node", "id", F.explode(F.array(*keys)).alias("list"))
     sizes = listed.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks)
     pairs = F.when(F.col("n") <= block, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(mine, j) * 1_000_000 + F.greatest(mine, j)))
-    groups = listed.join(sizes, "list").select("list", "node", F.explode(pairs).alias("pair")).select(F.xxhash64("list", "pair").alias("group"), "list", "pair", "node")
-    cut = groups.repartition("group").sortWithinPartitions("group", "list", "pair").select("group", "node")
+    groups = listed.join(sizes, "list").select("list", "node", "id", F.explode(pairs).alias("pair")).select(F.xxhash64("list", "pair").alias("group"), "list", "pair", "node", "id")
+    cut = groups.repartition("group").sortWithinPartitions("group", "list", "pair").select("group", "node", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list = []
-        for group in _groups(batches):
-            if len(group) == 2:
-                a, b = group.tolist()
+        for node, ids in _groups(batches):
+            if len(node) == 2:
+                a, b = node.tolist()
                 if ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= most:
-                    out.append((a, b))
-            else:
-                star = forest(np.unique(group).view(np.uint64), most, 8 - most)
+                    out.append(ids.tolist())
+            elif len(node) > 2:
+                star = forest(np.ascontiguousarray(node).view(np.uint64), most, 8 - most)
                 if star:
-                    out += np.array(star, np.uint64).view(np.int64).tolist()
+                    out += ids[np.array(star)].tolist()
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
                 out = []
@@ -152,27 +180,27 @@ def links(nodes: DataFrame, most: int = 4, block: int = 1024) -> DataFrame:
     return cut.mapInArrow(run, "a long, b long")
 
 
+def _labelled(docs: DataFrame, shingle: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    prints = stored(fingerprints(docs, shingle))
+    nodes = numbered(prints)
+    return prints, nodes, label_groups(nodes, links(nodes.select("id", "node"), most))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
-    """Per row of documents (doc_id, text): doc_id, fingerprint (16 hex digits), component_id, node.
+    """Per row of documents (doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
     Null and empty texts have fingerprint zero, which links like any other. component_id is the smallest doc_id
-    reachable by links, nulls aside: a group in which every doc_id is null has none. Repeated rows each get a row;
-    other columns are ignored. Copies share a fingerprint and enter the search once.
+    reachable by links, nulls aside: a group in which every doc_id is null has none. Repeated rows each get a row, rows
+    that share a doc_id are linked by their own texts; other columns are ignored; no rows, no result. Copies share a
+    fingerprint and enter the search once. A text's words are in memory a piece at a time, however long it is.
     """
-    prints = stored(fingerprints(docs, shingle))
-    nodes = stored(prints.groupBy("node").agg(F.min("doc_id").alias("first")))
-    labelled = label_groups(nodes, links(nodes.select("node"), most))
-    return prints.join(labelled, "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id", "node")
+    prints, _, labelled = _labelled(docs, shingle, most)
+    return prints.join(labelled, "node").select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
-    """The documents, one of each group of near-duplicates: the one with the smallest doc_id, all columns as they were.
-
-    Where rows share that doc_id one of them stays.
-    """
-    found = stored(near_duplicates(docs, shingle, most))
-    (key,) = fresh(docs, "kept_key")
-    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").cast("long").alias(key)).distinct()
-    kept = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_semi")
-    repeated = found.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """The documents, one row of each group of near-duplicates, all columns as they were: the row with the smallest
+    doc_id, nulls last, and of rows that share it the one with the smallest hash. Groups are made of rows, not of ids:
+    rows without a doc_id or with the same one go only if their texts are linked. No rows, no result."""
+    _, nodes, labelled = _labelled(docs, shingle, most)
+    return first_of_groups(docs, nodes, labelled)

@@ -26,8 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import work_dir
+from codegrain.llm.common import small_batches
 from codegrain.llm.tokens import encoder
+from codegrain.sources.shared import scratch
 
 MAGIC = b"CGP1"
 BIT, BYTE = 1, 8
@@ -87,16 +88,17 @@ def decode_shard(content: bytes, first: int = 0, last: int | None = None) -> np.
     return ids
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, joined: bool = True, end_id: int = 0, shard_ids: int = 262_144, block: int = 65_536, kind: int = BYTE, level: int = 3) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, joined: bool = True, end_id: int = 0, shard_ids: int = 262_144, block: int = 65_536, kind: int = BYTE, level: int = 3, literal: bool = False) -> DataFrame:
     """Encodes documents (doc_id, text) in ascending doc_id order into shards under path; returns the stored table.
 
     A null text is empty and yields the end id alone; a null doc_id comes first; rows with the same doc_id stand side
-    by side, in an order fixed by their texts; other columns are ignored. A shard ends with the document that reaches
-    shard_ids, so one document is never cut.
+    by side, in an order fixed by a hash of their texts; other columns are ignored; no rows, no shards. A shard ends with
+    the document that reaches shard_ids, so one document is never cut. With literal, control strings of the vocabulary in
+    a text are ordinary text; else they become their ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, joined), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer, joined, literal), np.array([end_id], "<u4").tobytes()
         part, shard, first = TaskContext.get().partitionId(), 0, 0
         names, sizes, kept, total = [], [], [], 0
 
@@ -122,8 +124,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, joined: bool = True
             yield close()
 
     tie = F.xxhash64("text")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
-    ordered.mapInArrow(run, SHARDS).write.parquet(path)
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(run, SHARDS).write.parquet(path)
     return docs.sparkSession.read.schema(SHARDS).parquet(path)
 
 
@@ -165,4 +168,4 @@ def _per_document(shards: DataFrame, schema: str, of, kind: pa.DataType) -> Data
 
 def token_output(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Writes the shards into the shared work folder and returns digest() of what is read back."""
-    return digest(write_shards(docs, work_dir(docs.sparkSession), tokenizer, **options))
+    return digest(write_shards(docs, scratch(docs.sparkSession), tokenizer, **options))

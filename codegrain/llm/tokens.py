@@ -30,36 +30,47 @@ class _Odd(Exception):
 
 
 class _Memo(dict):
-    """Answers by key, made when first asked for; emptied when it has grown to its limit."""
+    """Answers by key, made when first asked for. When it is full the answers become the former ones, of which those
+    still asked for come back; so at most twice the limit is held, and words that recur stay."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.former = make, limit, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = value
+        value = self.former.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > 24:
+                return value
+        if len(self) >= self.limit:
+            self.former = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
 class Encoder:
-    """Encodes like Tokenizer.encode(text, add_special_tokens=False), control strings in a text being ordinary text.
+    """Encodes like Tokenizer.encode(text, add_special_tokens=False): control strings of the vocabulary in a text become
+    their ids. With literal they are ordinary text, as they should be where nobody may forge them.
 
     joined: a token may begin with the space before a word (byte-level vocabularies); otherwise case and white space
     are dropped. Either way no token crosses the gap before a space that a visible character follows, so the ids of a
     text are those of its chunks in a row. Chunks of Latin letters and ASCII go to the vocabulary's merges word by
-    word, others to the whole tokenizer; texts in which a space is followed by anything unusual are encoded whole.
+    word, others to the whole tokenizer; texts in which a space is followed by anything unusual, and those that hold a
+    control string, are encoded whole. limit bounds the words remembered.
     """
 
-    def __init__(self, path: str, joined: bool, limit: int = 700_000):
+    def __init__(self, path: str, joined: bool, literal: bool = False, limit: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = literal
+        added = [] if literal else list(self._tokenizer.get_added_tokens_decoder().values())
+        self._controls = [t.content for t in added]
+        # those that are looked for in normalised text could hide in any spelling
+        self._apart = not any(t.normalized for t in added)
         self._model = self._tokenizer.model
         self._joined = joined
         self._words = re.compile(_JOINED if joined else _PLAIN).findall
@@ -73,12 +84,16 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _merged(self, piece: str) -> bytes:
-        piece = piece.replace(" ", self._space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self._letters)
+    def _ids(self, piece: str) -> bytes:
         return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
 
+    def _merged(self, piece: str) -> bytes:
+        return self._ids(piece.replace(" ", self._space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self._letters))
+
     def _chunk(self, chunk: str) -> bytes:
-        if self._word(chunk):
+        if chunk.isalpha() and self._word(chunk):
+            if chunk.isascii():
+                return self._ids(self._space + chunk if self._joined else chunk.lower())
             return self._merged(" " + chunk if self._joined else chunk.lower())
         if not chunk and not self._joined:
             return b""
@@ -92,6 +107,8 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if not self._apart or any(x in text for x in self._controls):
+            return self.whole(text)
         first, *rest = text.split(" ")
         try:
             return self.whole(first) + b"".join(map(self._chunks.__getitem__, rest))
@@ -100,6 +117,6 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str, joined: bool) -> Encoder:
+def encoder(path: str, joined: bool, literal: bool = False) -> Encoder:
     """One for each Python worker."""
-    return Encoder(path, joined)
+    return Encoder(path, joined, literal)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from codegrain.llm import embedding_dedup, simhash
+from codegrain.llm import embedding_dedup, shingle_sets, simhash
 from codegrain.llm.components import components
 
 
@@ -55,6 +55,34 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == plain_print(text)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_pieces_of_a_text_lose_no_shingle(monkeypatch, piece):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    for text in [*TEXTS[:-1], "a\tbb  ccc\nD e f " * 9, " lead and trail "]:
+        assert simhash.fingerprint(text) == plain_print(text)
+
+
+KEPT = [
+    ([(None, "a b c d e f"), (None, "u v w x y z")], 2),  # null ids are no group
+    ([(3, "c c1 c2 c3 c4"), (5, "a a1 a2 a3 a4"), (5, "c c1 c2 c3 c4")], 2),  # one id, two texts: the copy of 3 goes
+    ([(1, "same words all over again"), (1, "same words all over again")], 1),  # a row twice
+    ([(None, "same words all over again"), (2, "same words all over again"), (None, "same words all over again")], 1),
+    ([], 0),
+]
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one, shingle_sets.keep_one])
+@pytest.mark.parametrize(("rows", "n"), KEPT)
+def test_groups_are_made_of_rows(spark, keep, rows, n):
+    docs = spark.createDataFrame([(i, t, {"k": "v"}, 1.5) for i, t in rows], "doc_id long, text string, row map<string,string>, component_id double")
+    got = keep(docs.repartition(3))
+    assert got.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert len(left) == n and {t for _, t in left} == {t for _, t in rows}
+    best = {t: min((i is None, i or 0) for i, u in rows if u == t) for _, t in rows}
+    assert all((i is None, i or 0) == best[t] for i, t in left)
+
+
 def test_near_duplicates_are_those_of_all_pairs(spark):
     rng = np.random.default_rng(2)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(6)]
@@ -90,7 +118,7 @@ def test_long_lists_are_cut_into_blocks_without_loss(spark):
             x ^= 1 << int(b)
         prints.add(x)
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "node long"), 4, block=16)
+    edges = simhash.links(spark.createDataFrame([(x, x) for x in signed], "node long, id long"), 4, block=16)
     got = {r["id"]: r["component"] for r in components(edges).collect()}
     want = classes(signed, [(a, b) for a, b in combinations(signed, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4])
     assert {i: got.get(i, i) for i in signed} == want
@@ -115,10 +143,39 @@ def test_embeddings_are_linked_as_all_pairs(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def exact(x):
+    size = np.linalg.norm(x, axis=1)
+    return x @ x.T / (size[:, None] * size)
+
+
+def test_links_at_the_threshold_are_found(spark):
+    rows = [(1, [10.0, 0.0, 0.0, 0.0]), (2, [9.0, 3.0, 3.0, 1.0]), (3, [0.0, 0.0, 7.0, 0.0]), (4, [0.0, 3.0, 9.0, 3.9]), (4, [0.0, -5.0, 0.0, 0.0])]
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)}
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.9])
 def test_tiles_stop_without_loss(threshold):
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(300, 32)) * np.geomspace(1, 0.05, 32)
-    x[150:] = x[:150] + rng.normal(size=(150, 32)) * 0.1
+    raw = rng.normal(size=(300, 32)) * np.geomspace(1, 0.05, 32)
+    raw[150:] = raw[:150] + rng.normal(size=(150, 32)) * 0.1
+    x = (raw / np.linalg.norm(raw, axis=1, keepdims=True)).astype(np.float32)
+    assert (embedding_dedup.compare(x[:100], x[50:], (raw[:100], raw[50:]), threshold, (8, 16, 32)) == (exact(raw)[:100, 50:] >= threshold)).all()
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 5, 16])
+def test_boxes_leave_no_link_out(blocks):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 12)) * np.geomspace(1, 0.1, 12)
+    x[300:] = x[:300] + rng.normal(size=(300, 12)) * 0.05
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    assert (embedding_dedup.compare(x[:100], x[50:], threshold, (8, 16, 32)) == (x[:100] @ x[50:].T >= threshold)).all()
+    of = embedding_dedup.leaf(x[:, :4], embedding_dedup.layout(x[::3, :4], blocks))
+    assert 0 <= of.min() and of.max() < max(1, 2 * blocks)
+    used = np.unique(of)
+    ends = [np.array([f(x[of == b, :4], axis=0) for b in used]) for f in (np.min, np.max)]
+    rest = np.array([np.linalg.norm(x[of == b, 4:], axis=1).max() for b in used])
+    close = {(used[i], used[j]) for i, j in embedding_dedup.close_boxes(*ends, rest, 0.95)}
+    linked = {tuple(sorted((of[a], of[b]))) for a, b in zip(*np.nonzero(exact(x) >= 0.95), strict=True)}
+    assert linked <= close
+    if blocks == 16:
+        assert len(close) < len(used) * (len(used) + 1) // 2
