@@ -33,23 +33,42 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(leaf, node, up) for messages (node, parent): every message on the way from a leaf to its root, up steps above it.
-
-    A parent that is not there makes its message a root.
-    """
+def _jumps(messages: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (node, parent) of ancestors 1, 2, 4, ... steps up, as far as there are any, and the nodes whose ancestors
+    never end because parents run in a circle (None without such): more steps than messages only a circle has."""
     known = messages.select(F.col("node").alias("parent"), F.lit(True).alias("there"))
-    rooted = messages.select("node", "parent").join(known, "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("parent"))
-    jump = stored(rooted.where("parent is not null and parent <> node"))
-    answered = jump.select(F.col("parent").alias("node")).distinct()
-    pairs = stored(messages.select("node").join(answered, "node", "left_anti").select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    reach = 1
+    rooted = messages.select("node", "parent").join(known, "parent", "left").select("node", F.when(F.col("there") & (F.col("parent") != F.col("node")), F.col("parent")).alias("parent"))
+    jump, tables, reach, most = stored(rooted.where("parent is not null")), [], 1, messages.count()
     while not jump.isEmpty():
-        further = pairs.join(jump, "node").select("leaf", F.col("parent").alias("node"), (F.col("up") + reach).alias("up"))
-        pairs = stored(pairs.unionByName(further))
+        if reach > most:
+            return tables, jump.select("node")
+        tables.append(jump)
         above = jump.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
         jump = stored(jump.join(above, "parent").select("node", F.col("next").alias("parent")))
         reach *= 2
+    return tables, None
+
+
+def endless(messages: DataFrame) -> DataFrame:
+    """The messages (node, parent) without a root: those on a circle of parents, their own included, and all below one."""
+    found = _jumps(messages)[1]
+    return messages.limit(0) if found is None else messages.join(found, "node", "left_semi")
+
+
+def paths(messages: DataFrame) -> DataFrame:
+    """(leaf, node, up) for messages (node, parent): every message on the way from a leaf to its root, up steps above it.
+
+    A parent that is not there, or is the message itself, makes its message a root. Messages without a root, see endless(), are on no path.
+    """
+    tables, circling = _jumps(messages)
+    inner = messages.where("parent is not null and parent <> node").select(F.col("parent").alias("node")).distinct()
+    leaves = messages.select("node").join(inner, "node", "left_anti")
+    if circling is not None:
+        leaves = leaves.join(circling, "node", "left_anti")
+    pairs = stored(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
+    for k, jump in enumerate(tables):
+        further = pairs.join(jump, "node").select("leaf", F.col("parent").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        pairs = stored(pairs.unionByName(further))
     return pairs
 
 
@@ -70,13 +89,19 @@ def render(turns: Column, trained: str) -> Column:
     return let(pieces, lambda p: F.struct(formatted(p).alias("formatted"), spans(p).alias("spans")))
 
 
-def format_trees(messages: DataFrame, top: int = 1, trained: str = "assistant") -> DataFrame:
+def format_trees(messages: DataFrame, top: int = 1, trained: str = "assistant", unique: bool = False) -> DataFrame:
     """Messages (tree, node, parent, role, text, score) as conversations (tree, branch, formatted, spans, n_turns).
 
-    node is unique in the whole table. The branches of a tree rank by the mean score of their messages, then by their
-    leaf's node; the first `top` are formatted. Null scores count as 0, null texts and roles as empty.
+    The branches of a tree rank by the mean score of their messages, then by their leaf's node; the first `top` are
+    formatted. Null scores count as 0, null texts and roles as empty. node names a message in the whole table: of rows that
+    share one the first by parent, role, text, score and tree counts (unique says that there are none, which saves looking);
+    rows with a null node can't be answered or found and are left out, as are messages whose parents run in a circle, which
+    endless() tells. Other columns are ignored; no messages, no conversations.
     """
-    clean = stored(messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
+    clean = messages.where("node is not null").select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    if not unique:
+        clean = clean.groupBy("node").agg(F.min(F.struct("parent", "role", "text", "score", "tree")).alias("m")).select("m.tree", "node", "m.parent", "m.role", "m.text", "m.score")
+    clean = stored(clean)
     walked = paths(clean.select("node", "parent"))
     scored = walked.join(clean.select("tree", "node", "score"), "node").groupBy("leaf").agg(F.max("tree").alias("tree"), F.avg("score").alias("mean"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), "leaf"))
@@ -96,7 +121,7 @@ def format_conversations(rows: DataFrame, **options) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).withColumn("seq", F.row_number().over(order))
     node = lambda seq: F.struct(F.col("conv_id").isNotNull().alias("a"), F.coalesce("conv_id", F.lit(0).cast("long")).alias("b"), seq.cast("long").alias("c"))
-    return format_trees(numbered.select(F.col("conv_id").alias("tree"), node(F.col("seq")).alias("node"), F.when(F.col("seq") > 1, node(F.col("seq") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score")), **options)
+    return format_trees(numbered.select(F.col("conv_id").alias("tree"), node(F.col("seq")).alias("node"), F.when(F.col("seq") > 1, node(F.col("seq") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score")), unique=True, **options)
 
 
 def read_turns(formatted: Column) -> Column:

@@ -90,13 +90,14 @@ def _draw(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 40)) / float(1 << 40)
 
 
-def train(docs: DataFrame, per_language: int = 400, landmarks_per_language: int = 16, ridge: float = 1e-3, seed: int = 5) -> Model | None:
+def train(docs: DataFrame, per_language: int = 400, landmarks_per_language: int = 16, ridge: float = 1e-3, seed: int = 5, max_languages: int = 200) -> Model | None:
     """Fits on documents (doc_id, text, lang) with a lang: a sample, drawn by hash of doc_id, of about per_language
     texts of each language, of them landmarks_per_language landmarks. That is all the driver gets: the landmarks'
-    grams and the kernel values of the sample. None if there is nothing to learn from."""
+    grams and the kernel values of the sample. The max_languages most frequent languages are learned, so labels that are
+    full of errors make no model that doesn't fit. None if there is nothing to learn from."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     if not counts:
         return None
     share = lambda n: F.create_map(*(F.lit(x) for k, c in counts.items() for x in (k, n / c)))[F.col("lang")]

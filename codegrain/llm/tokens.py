@@ -15,6 +15,8 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: The rules by which the two kinds of vocabulary part words, for texts of these letters and of ASCII.
 _JOINED = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+"
 _PLAIN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+"
+#: Signs that make a piece of their own after a word, and of which one follows it often.
+_SIGNS = frozenset(",.;:!?")
 _KNOWN = re.compile(rf"[!-~{_LETTER}][\n -~{_LETTER}]*")
 
 
@@ -41,7 +43,7 @@ class _Memo(dict):
         value = self.former.get(key)
         if value is None:
             value = self.make(key)
-            if len(key) > 24:
+            if len(key) > 24 or "\n" in key:  # hardly ever asked for again
                 return value
         if len(self) >= self.limit:
             self.former = dict(self)
@@ -61,7 +63,7 @@ class Encoder:
     control string, are encoded whole. limit bounds the words remembered.
     """
 
-    def __init__(self, path: str, joined: bool, literal: bool = False, limit: int = 120_000):
+    def __init__(self, path: str, joined: bool, literal: bool = False, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,6 +99,13 @@ class Encoder:
             return self._merged(" " + chunk if self._joined else chunk.lower())
         if not chunk and not self._joined:
             return b""
+        body, sign = chunk[:-1], chunk[-1:]
+        if sign in _SIGNS and body.isascii() and body.isalpha():
+            return self._chunks[body] + self._others[sign]
+        if sign.isalpha() and chunk.isascii() and chunk.count("\n") == 1:
+            before, after = chunk.split("\n")
+            if after.isalpha() and before[:-1].isalpha() and before[-1] in _SIGNS:
+                return self._chunks[before] + (self._others["\n"] + self._others[after] if self._joined else self._chunks[after])
         if not self._start(chunk):
             raise _Odd
         if len(chunk) > 64 or not _KNOWN.fullmatch(chunk):

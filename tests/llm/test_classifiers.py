@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codegrain.llm import langid, quality_classifier
 from codegrain.llm.common import remainder, table
@@ -71,13 +72,67 @@ def test_quality_of_held_out_texts(spark):
     assert np.mean([q == p for q, _, p in held]) > 0.9
 
 
-def test_held_out_labels_are_not_looked_at(spark):
-    docs = table(spark, SF, "documents").select("doc_id", "text")
-    labels = table(spark, SF, "labels").select("doc_id", "quality")
-    fold = remainder(labels["doc_id"], 4)
-    a = quality_classifier.train(docs, labels.where(fold != 2))
-    b = quality_classifier.train(docs, labels.withColumn("quality", 1 - labels["quality"]).where(fold == 2).unionByName(labels.where(fold != 2)).where(fold != 2))
-    assert all((x == y).all() for x, y in zip(a.network.layers, b.network.layers, strict=True))
+def copied(spark, tmp_path, **changed):
+    for name in ("documents", "labels"):
+        changed.get(name, table(spark, "/root/testdata/sf0.001", name)).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_queries_do_not_look_at_held_out_labels(spark, tmp_path):
+    small = "/root/testdata/sf0.001"
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    flipped = labels.withColumn("quality", F.when(remainder(F.col("doc_id"), 4) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert flipped.exceptAll(labels).count() > 5
+    assert rows(op4_quality_classifier(spark, copied(spark, tmp_path / "a", labels=flipped))) == rows(op4_quality_classifier(spark, small))
+    other = docs.withColumn("lang", F.when(remainder(F.col("doc_id"), 3) == 1, F.lit("xx")).otherwise(F.col("lang"))).withColumn("source", F.lit("elsewhere"))
+    assert rows(op10_language_id(spark, copied(spark, tmp_path / "b", documents=other))) == rows(op10_language_id(spark, small))
+
+
+def test_features_and_network_are_those_of_a_plain_pass():
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(quality_classifier.SLOTS, quality_classifier.DIMS)).astype(np.float32)
+    ids = quality_classifier.tokens("some words, SOME words and some more " * 9)
+    taken = [vectors[i].astype(float) for i in ids]
+    mean = sum(taken) / len(taken)
+    spread = np.sqrt(sum((v - mean) ** 2 for v in taken) / len(taken))
+    assert np.allclose(quality_classifier.pooled(ids, vectors), [*mean, *spread], atol=1e-4)
+    x = rng.normal(size=(400, 6))
+    y = (x[:, 0] - x[:, 1] ** 2 > -0.5).astype(float)
+    net = quality_classifier.fit(x, y)
+    w1, b1, w2, b2 = net.layers
+    for row, p in zip(x[:20], net.probability(x[:20]), strict=True):
+        scaled = [(v - m) / s for v, m, s in zip(row, net.mean, net.scale, strict=True)]
+        inner = [np.tanh(sum(a * w1[i, j] for i, a in enumerate(scaled)) + b1[j]) for j in range(w1.shape[1])]
+        out = sum(h * w2[j, 0] for j, h in enumerate(inner)) + b2[0]
+        assert p == pytest.approx(1 / (1 + np.exp(-out / net.temperature)), abs=1e-9)
+    fresh_x = rng.normal(size=(2000, 6))
+    truth = fresh_x[:, 0] - fresh_x[:, 1] ** 2 > -0.5
+    assert ((net.probability(fresh_x) > 0.5) == truth).mean() > 0.9
+    # calibrated: no other temperature of the grid does better on the fifth held back
+    held = np.random.default_rng(3).permutation(400)[:80]
+    raw = net.logits(x[held])
+    loss = [np.logaddexp(0, -np.where(y[held] > 0.5, raw, -raw) / t).mean() for t in np.geomspace(0.25, 8, 61)]
+    assert net.temperature == np.geomspace(0.25, 8, 61)[int(np.argmin(loss))]
+
+
+def test_regression_on_landmarks_is_plain_kernel_ridge_where_all_texts_are_landmarks():
+    texts = [langid.grams(t) for t in ("the cat sat there", "this is the hat", "le chat est la", "la rue et le pain", "das ist der Hund", "der Mann und die Frau")]
+    labels = ["en", "en", "fr", "fr", "de", "de"]
+    model = langid.landmarks(texts)
+    values = model.kernel(texts).astype(float)
+    solved = langid.solve(model, values, labels, ridge=0.1)
+    gram = np.array([[len(set(a.tolist()) & set(b.tolist())) / np.sqrt(len(a) * len(b)) for b in texts] for a in texts])
+    sign = np.array([[1.0 if x == n else -1.0 for n in ("de", "en", "fr")] for x in labels])
+    # every language has two texts, each of weight 1/2: (K/2 + ridge) alpha = Y/2 in the space of the kernel
+    dual = np.linalg.solve(gram / 2 + 0.1 * np.eye(6), sign / 2)
+    asked = [langid.grams(t) for t in ("the dog and the cat", "der Hund ist da", "le chien")]
+    cross = np.array([[len(set(a.tolist()) & set(b.tolist())) / np.sqrt(len(a) * len(b)) for b in texts] for a in asked])
+    assert solved.names == ["de", "en", "fr"]
+    assert np.allclose(solved.kernel(asked) @ solved.coefficients, cross @ dual, atol=1e-4)
 
 
 def test_word_vectors_are_sums_of_neighbours(spark):

@@ -90,30 +90,98 @@ def test_branches_of_a_tree(spark):
     assert sorted((r["tree"], r["branch"], [t["text"] for t in r["turns"]]) for r in made) == [("t", 1, ["q", "b"]), ("t", 2, ["q", "a", "c", "d"]), ("u", 1, ["z"])]
 
 
+def test_circles_of_parents_end(spark):
+    rows = [(1, 2), (2, 1), (3, 1), (4, 4), (5, 4), (6, None), (7, 6), (8, 8), (9, 3)]
+    messages = spark.createDataFrame(rows, "node long, parent long")
+    assert {(r["leaf"], r["node"], r["up"]) for r in chat.paths(messages).collect()} == {(5, 5, 0), (5, 4, 1), (7, 7, 0), (7, 6, 1), (8, 8, 0)}
+    assert {r["node"] for r in chat.endless(messages).collect()} == {1, 2, 3, 9}
+    assert chat.endless(messages.where("node > 3")).count() == 0 and chat.paths(messages.limit(0)).count() == 0
+
+
+def test_messages_that_share_a_node_count_once(spark):
+    rows = [("t", 1, None, "user", "q", 0.0), ("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "b", 1.0), ("t", 2, 1, "assistant", "a", 1.0), ("t", None, 1, "user", "x", 1.0)]
+    made = chat.format_trees(spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double"), top=9)
+    assert [[t["text"] for t in r["turns"]] for r in made.select(chat.read_turns(F.col("formatted")).alias("turns")).collect()] == [["q", "a"]]
+
+
 def test_long_thread(spark):
     rows = spark.range(300).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     assert chat.digest(chat.format_conversations(rows)).first()["n_turns"] == 300
 
 
-def dice(a, b):
-    return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
+def plain_matches(text, templates, threshold):
+    """Every part compared with every template."""
+    words = re.findall("[a-z0-9]+", text.lower())
+    grams = list(zip(words, words[1:], strict=False))
+    close = set()
+    spans = [(0, len(words))]
+    for pieces in (text.split("\n"), re.split(r"\n[ \t\r]*\n", text)):
+        at = 0
+        for piece in pieces:
+            n = len(re.findall("[a-z0-9]+", piece.lower()))
+            spans.append((at, at + n))
+            at += n
+    for name, some in templates.items():
+        for body in some:
+            asked = re.findall("[a-z0-9]+", body.lower())
+            want = set(zip(asked, asked[1:], strict=False))
+            for s, e in [*spans, *((i, min(i + len(asked), len(words))) for i, g in enumerate(grams) if g in want)]:
+                have = set(grams[s : e - 1])
+                if have and 2 * len(have & want) / (len(have) + len(want)) >= threshold:
+                    close.add((-2 * len(have & want) / (len(have) + len(want)), name, s, e))
+    better = lambda x: any(y < x and y[2] < x[3] and x[2] < y[3] for y in close)
+    return [(-d, n, s, e) for d, n, s, e in sorted(close) if not better((d, n, s, e))]
+
+
+SMALL = {k: license_scan.TEMPLATES[k] for k in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "MIT", "GPL-3.0", "LGPL-3.0")}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([t for some in SMALL.values() for t in some] + ["", "plain words and the license of it", "the mit license " * 3]), st.integers(0, 60), st.sampled_from(["", "x", "License", "the"]), st.sampled_from(["\n", "\n \n", " "])), min_size=1, max_size=4), st.sampled_from([0.5, 0.8]))
+def test_bounds_lose_no_match(pieces, threshold):
+    text = ""
+    for body, at, word, gap in pieces:
+        words = body.split() or [""]
+        words[at % len(words)] = word
+        text += " ".join(words).upper() + gap
+    assert license_scan.Matcher(SMALL, threshold).find(text) == plain_matches(text, SMALL, threshold)
+
 
+BSD_CLAUSES = next(t for t in license_scan.TEMPLATES["BSD-3-Clause"] if "endorse" in t and "AS IS" not in t)
+GPL_HEADER = next(t for t in license_scan.TEMPLATES["GPL-3.0"] if "redistribute it" in t)
 
-@settings(max_examples=200, deadline=None)
-@given(st.sampled_from(sorted(license_scan.NOTICES)), st.lists(st.tuples(st.integers(0, 60), st.sampled_from(["", "x", "License", "the"])), max_size=4), st.sampled_from([0.5, 0.8]))
-def test_bounds_lose_no_notice(name, edits, threshold):
-    words = license_scan.NOTICES[name].split()
-    for at, word in edits:
-        words[at % len(words)] = word
-    part = " ".join(words).upper()
-    want = min((-dice(license_scan.bigrams(part), license_scan.bigrams(t)), n) for n, t in license_scan.NOTICES.items())
-    assert license_scan.Matcher(license_scan.NOTICES, threshold).best(part) == ((-want[0], want[1]) if -want[0] >= threshold else None)
+
+@pytest.mark.parametrize(
+    ("text", "licenses"),
+    [
+        (f"/* Copyright 2020\n{BSD_CLAUSES} */ int x;", "BSD-3-Clause"),
+        ("\n".join(f"# {line}" for line in GPL_HEADER.replace(". ", ".\n").split("\n")) + "\nimport os", "GPL-3.0"),
+        ("This project is licensed under the MIT License.", "MIT"),
+        ("Some tool. Released under the MIT License. See the file for details, or ask.", "MIT"),
+        ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Apache-2.0"),
+        ("The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + license_scan.TEMPLATES["MIT"][-1], "MIT"),
+        ("the end of the file and the license plate of the car under the bridge", ""),
+    ],
+)
+def test_licences_are_found_where_they_stand(text, licenses):
+    found = license_scan.Matcher(license_scan.TEMPLATES, 0.8).find("before all of this\n" + text + "\nafter it")
+    assert ",".join(sorted({n for _, n, _, _ in found})) == licenses
+
+
+def test_a_licence_is_not_taken_for_its_kin():
+    for name, some in license_scan.TEMPLATES.items():
+        for body in some:
+            found = license_scan.Matcher(license_scan.TEMPLATES, 0.8).find("some words before it " + body + " and some after it")
+            assert found[0][:2] == (1.0, name) and {n for _, n, _, _ in found} == {name}
 
 
 def test_scan_of_odd_rows(spark):
-    rows = [(1, None, 0), (2, "", 0), (3, "x\nReleased under the MIT License.\ny", 0), (3, "x\nReleased under the MIT License.\ny", 0), (4, "Permission to use, copy, modify, and/or distribute this software for any purpose with or\nwithout fee is hereby granted, provided that the above copyright notice and this\npermission notice appear in all copies.\n\nReleased under the BSD 2 Clause License", 0), (None, "word " * 100_000, 0)]
-    got = [(r["doc_id"], r["licenses"], r["n_licenses"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, licenses int")).collect()]
-    assert sorted(got, key=str) == sorted([(1, "", 0), (2, "", 0), (3, "MIT", 1), (3, "MIT", 1), (4, "BSD-2-Clause,ISC", 2), (None, "", 0)], key=str)
+    rows = [(1, None, 0), (2, "", 0), (3, "x\nReleased under the MIT License.\ny", 0), (3, "x\nReleased under the MIT License.\ny", 0), (4, "Permission to use, copy, modify, and/or distribute this software for any purpose with or\nwithout fee is hereby granted, provided that the above copyright notice and this\npermission notice appear in all copies.\n\nReleased under the BSD 2 Clause License", 0), (None, "word " * 100_000, 0), (5, "of the license " * 30_000, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, licenses int")
+    got = [(r["doc_id"], r["licenses"], r["n_licenses"]) for r in license_scan.scan(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, "", 0), (2, "", 0), (3, "MIT", 1), (3, "MIT", 1), (4, "BSD-2-Clause,ISC", 2), (None, "", 0), (5, "", 0)], key=str)
+    assert license_scan.matches(docs.where("doc_id = 3")).first()["matches"][0].asDict() == {"license": "MIT", "dice": 1.0, "first_word": 1, "n_words": 5}
+    assert license_scan.scan(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("text", ["a\\b", "<|x|>", "\\<|", "<\\|", "\\\\", "\n\\n", ""])

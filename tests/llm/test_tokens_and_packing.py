@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -6,31 +7,72 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from codegrain.llm import packing, token_output
+from codegrain.llm.common import table
 from codegrain.llm.queries import tokenizer_path
-from codegrain.llm.tokens import encoder
+from codegrain.llm.tokens import _Memo, encoder
 
 FILES = (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False))
 
 
-def whole(name, text):
+@functools.cache
+def library(name, literal):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    if literal:
+        t.encode_special_tokens = True
+    return t
 
 
-@pytest.mark.parametrize(("name", "joined"), FILES)
-@pytest.mark.parametrize("text", ["", " ", "a  b", "a\n b", "\n\n x ", "don't 's", "a ́b", "x \tb\ty", "<|endoftext|> a", "é Ü ß.", "日本 語", "ΑΣ ΑΣ.", " x  y", "THE The the, the.\nThe", "a" * 500])
-def test_ids_are_those_of_the_whole_text(name, joined, text):
-    assert np.frombuffer(encoder(tokenizer_path(name), joined)(text), "<u4").tolist() == whole(name, text)
+def whole(name, text, literal=False):
+    return library(name, literal).encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("ab'sé ÉΣ\n\t.,|!1 ́ 中"), max_size=60))
-def test_ids_of_any_text(text):
+def agree(text):
     for name, joined in FILES:
-        assert np.frombuffer(encoder(tokenizer_path(name), joined)(text), "<u4").tolist() == whole(name, text)
+        for literal in (False, True):
+            assert np.frombuffer(encoder(tokenizer_path(name), joined, literal)(text), "<u4").tolist() == whole(name, text, literal)
+
+
+TEXTS = ["", " ", "a  b", "a\n b", "\n\n x ", "don't 's", "a ́b", "x \tb\ty", "<|endoftext|> a", "x<|ENDOFTEXT|>y <|startoftext|>", "é Ü ß.", "日本 語", "ΑΣ ΑΣ.", " x  y", "THE The the, the.\nThe", "It. Is? so;\nNow a.\n\nb c,\nd 's,", "a" * 500, "İ ı ſ K Å", "e\u0301 \u1100\u1161", "1 22 333,444.5"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_ids_are_those_of_the_whole_text(text):
+    agree(text)
+
+
+def test_control_strings_become_their_ids_unless_literal():
+    assert whole("byte_bpe_50k.json", "<|endoftext|> a")[0] == 50256
+    assert 50256 not in whole("byte_bpe_50k.json", "<|endoftext|> a", True)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("ab'sé ÉΣ\n\t.,|!1 ́ 中<>"), max_size=60))
+def test_ids_of_mixed_text(text):
+    agree(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.characters(codec="utf-8"), max_size=12), max_size=8), st.sampled_from([" ", "\n", ". ", "  "]))
+def test_ids_of_text_in_any_script(parts, gap):
+    agree(gap.join(parts))
+
+
+def test_ids_of_all_documents(spark):
+    for r in table(spark, "/root/testdata/sf0.01", "documents").collect():
+        for name, joined in FILES:
+            assert np.frombuffer(encoder(tokenizer_path(name), joined)(r["text"] or ""), "<u4").tolist() == whole(name, r["text"] or "")
+
+
+def test_memory_of_words_is_bounded_and_forgets_nothing_asked_for():
+    made = []
+    memo = _Memo(lambda k: made.append(k) or k.encode(), 10)
+    for i in range(200):
+        assert memo[f"w{i % 37}"] == f"w{i % 37}".encode() and memo["often"] == b"often"
+        assert len(memo) + len(memo.former) <= 20
+    assert made.count("often") == 1
+    assert memo["x" * 30] and "x" * 30 not in memo
 
 
 @settings(max_examples=60, deadline=None)
