@@ -16,16 +16,38 @@ def char_similarity(a: Column, b: Column) -> Column:
     return percent(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b)))
 
 
-def as_letters(tokens: Column, alphabet: Column) -> Column:
-    """A string with a letter for each token, by its place in the alphabet (fewer than 35,000 tokens)."""
-    place = F.transform(tokens, lambda t: F.lpad(F.hex(F.lit(0x4E00) + F.array_position(alphabet, t)), 4, "0"))
-    return F.decode(F.unhex(F.array_join(place, "")), "UTF-16BE")
+def token_distance(a: list | None, b: list | None) -> int | None:
+    """Levenshtein distance of two sequences, by bit vectors: a row of the table is two integers with a bit for each
+    element of a, so a step costs what the length of a over the word size says."""
+    if a is None or b is None:
+        return None
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    ones = (1 << len(a)) - 1
+    last, up, down, distance = 1 << len(a) - 1, ones, 0, len(a)
+    for x in b:
+        same = where.get(x, 0)
+        carried = (((same & up) + up) ^ up) | same | down
+        rises, falls = down | (ones & ~(carried | up)), up & carried
+        distance += bool(rises & last) - bool(falls & last)
+        rises = rises << 1 | 1
+        up, down = (falls << 1 | ones & ~(carried | rises)) & ones, rises & carried & ones
+    return distance
 
 
 def token_similarity(a: Column, b: Column) -> Column:
-    """Levenshtein over whole tokens as percent: tokens become letters and the built-in distance counts them."""
-    both = F.array_union(a, b)
-    return percent(F.levenshtein(as_letters(a, both), as_letters(b, both)), F.greatest(F.size(a), F.size(b)))
+    """Levenshtein distance over whole tokens as percent of the longer array, whole arrays however long."""
+
+    @F.pandas_udf("long")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([token_distance(None if s is None else list(s), None if t is None else list(t)) for s, t in zip(x, y, strict=True)], dtype="Int64")
+
+    return percent(distance(a, b), F.greatest(F.size(a), F.size(b)))
 
 
 def similarity_bound(a: Column, b: Column) -> Column:

@@ -1,20 +1,20 @@
 """Syntax nodes as rows, their categories, and samples drawn from them.
 
 A backend turns a text into nodes (id, parent_id, depth, type, tag, start_byte, end_byte) in document order: html by the
-standard library's HTML parser, python by its ast, other languages by a scanner of braces and keywords. Only this step
-needs Python; what follows is joins and expressions.
+standard library's HTML parser, python by its ast, ruby, lua and verilog by a scanner of blocks that a word ends, other
+languages by a scanner of braces and keywords. Only this step needs Python; what follows is joins and expressions.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegrain.functions.text import uniform
@@ -25,6 +25,7 @@ Node = tuple[int, int | None, int, str, str | None, int, int]
 #: Element names sampled as blocks and as lines.
 BLOCK_TAGS = ("div", "section", "article", "header", "footer", "nav", "main", "aside", "form", "table", "ul", "ol", "dl")
 LINE_TAGS = ("span", "a", "strong", "em", "b", "i", "u", "small", "mark", "del", "ins", "sub", "sup", "code", "kbd", "samp", "var", "time", "data")
+_TAG = re.compile(r"<([^\s/>]+)")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 #: Categories in order of priority; of those that a node type falls into the first counts.
@@ -68,7 +69,7 @@ class _Html(HTMLParser):
 
     def handle_starttag(self, tag, attrs) -> None:
         start = self._at()
-        name = re.match(r"<([^\s/>]+)", self.text[start:])
+        name = _TAG.match(self.text, start)
         parent = self.open[-1][1] if self.open else None
         self.nodes.append([len(self.nodes), parent, len(self.open), "element", name[1] if name else tag, start, start + len(self.get_starttag_text() or "")])
         if tag not in _VOID:
@@ -135,6 +136,8 @@ _HEADS = (
     ("if_statement", re.compile(r"^\s*(?:\}?\s*else\s+)?(?:if|switch|try|match)\b")),
     ("function_declaration", re.compile(r"\)[^;=()]*$|\bfn\b|\bfunc(?:tion)?\b|=>\s*$")),
 )
+_CONTROL = re.compile(r"\s*(?:for|if|switch)\b")
+_DIRECTIVE = re.compile(r"\s*(?:#\s*include|import|package|use)\b")
 _LINES = (("import_declaration", re.compile(r"^\s*(?:import|using|use|#include|package)\b|^\s*#\s*include")), ("return_statement", re.compile(r"^\s*return\b")), ("assignment_statement", re.compile(r"[^=!<>]=[^=]")))
 
 
@@ -143,9 +146,15 @@ def hushed(text: str) -> str:
     return _QUIET.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
-def brace_nodes(text: str) -> list[Node]:
+#: Languages in which the end of a line ends a statement.
+LINE_ENDS = frozenset("go kotlin swift scala r javascript typescript perl".split())
+_GOES_ON = re.compile(r"[-+*/%=<>&|^,.(\[{:?\\]\s*$")
+
+
+def brace_nodes(text: str, line_ends: bool = False) -> list[Node]:
+    """line_ends: a line that is no part of a longer expression is a statement without a semicolon, too."""
     bare = hushed(text)
-    nodes, open_, begin, i = [], [], 0, 0
+    nodes, open_, begin, i, depth = [], [], 0, 0, 0
 
     def add(kind: str, start: int, end: int) -> int:
         start += len(bare[start:end]) - len(bare[start:end].lstrip())
@@ -164,7 +173,9 @@ def brace_nodes(text: str) -> list[Node]:
             if open_ and (n := open_.pop()) is not None:
                 nodes[n][6] = i + 1
             begin = i + 1
-        elif ch == ";" or ch == "\n" and re.match(r"\s*(?:#\s*include|import|package|use)\b", bare[begin:i]):
+        elif ch in "([" or ch in ")]":
+            depth = max(0, depth + (1 if ch in "([" else -1))
+        elif (ch == ";" and not depth and not (line_ends and _CONTROL.match(bare, begin, i))) or ch == "\n" and (_DIRECTIVE.match(bare, begin, i) or line_ends and not depth and bare[begin:i].strip() and not _GOES_ON.search(bare, max(begin, i - 80), i)):
             line = bare[begin : i + (ch == ";")]
             if line.strip(" \n\t;"):
                 add(next((k for k, rule in _LINES if rule.search(line)), "expression_statement"), begin, i + (ch == ";"))
@@ -176,12 +187,69 @@ def brace_nodes(text: str) -> list[Node]:
     return _by_bytes(text, nodes)
 
 
+#: What opens a block, what ends one, and what is no code, in languages whose blocks a word ends.
+_WORD_BLOCKS = {
+    "ruby": (
+        (("class", r"class\b"), ("module", r"module\b"), ("method", r"def\b"), ("if", r"(?:if|unless|case|begin)\b"), ("while", r"(?:while|until)\b"), ("for", r"for\b"), ("call_block", r".*\bdo(?:\s*\|[^|]*\|)?\s*$"), ("if", r"[\w@.\[\]]+\s*=\s*(?:if|case|begin)\b")),
+        re.compile(r"end\b"),
+        re.compile(r"#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"),
+    ),
+    "lua": (
+        (("function_declaration", r"(?:local\s+)?function\b|.*[=(,]\s*function\s*\([^()]*\)\s*$"), ("if_statement", r"if\b(?!.*\bend\b)"), ("for_statement", r"for\b(?!.*\bend\b)"), ("while_statement", r"while\b(?!.*\bend\b)"), ("repeat_statement", r"repeat\b"), ("do_statement", r"do\b")),
+        re.compile(r"end\b|until\b"),
+        re.compile(r"--\[\[.*?\]\]|--[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S),
+    ),
+    "verilog": (
+        (("module_declaration", r"module\b"), ("function_declaration", r"function\b"), ("task_declaration", r"task\b"), ("case_statement", r"case[xz]?\b"), ("if_statement", r"(?:end\s+)?(?:else\s+)?if\b.*\bbegin\b|(?:end\s+)?else\b.*\bbegin\b"), ("for_statement", r"for\b.*\bbegin\b"), ("while_statement", r"while\b.*\bbegin\b"), ("block", r".*\bbegin\b(?:\s*:\s*\w+)?\s*$")),
+        re.compile(r"end(?:module|function|task|case)?\b"),
+        re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"", re.S),
+    ),
+}
+_BETWEEN = re.compile(r"(?:else(?!.*\bbegin\b)|elsif|elseif|when|rescue|ensure|then)\b")
+_WORD_LINES = (("import_declaration", re.compile(r"(?:require|require_relative|include|import|`include|dofile|local\s+\w+\s*=\s*require)\b")), ("return_statement", re.compile(r"return\b")), ("assignment_statement", re.compile(r"[^=!<>~]=[^=~>]|<=")))
+
+
+def word_nodes(text: str, language: str) -> list[Node]:
+    """Line by line: a line that opens a block, ends one, or is a statement. A block that begins and ends on one line is a
+    statement; one that never ends goes to the end of the text."""
+    openers, ends, quiet = _WORD_BLOCKS[language]
+    rules = [(kind, re.compile(rule)) for kind, rule in openers]
+    bare = quiet.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    nodes, open_, at = [], [], 0
+    for line in bare.split("\n"):
+        body, start, stop = line.strip(), at + len(line) - len(line.lstrip()), at + len(line.rstrip())
+        at += len(line) + 1
+        if not body or _BETWEEN.match(body):
+            continue
+        closing = ends.match(body)
+        if closing and open_:
+            nodes[open_.pop()][6] = stop
+        opening = next((kind for kind, rule in rules if rule.match(body)), None)
+        if closing and not (language == "verilog" and opening):
+            continue
+        if opening and not closing and re.search(r"\b(?:end|endmodule|endfunction|endtask)\s*;?$", body):
+            opening = None
+        kind = opening or next((k for k, rule in _WORD_LINES if rule.search(body)), "expression_statement")
+        nodes.append([len(nodes), open_[-1] if open_ else None, len(open_), kind, None, start, stop])
+        if opening:
+            nodes[-1][6] = len(text)
+            open_.append(len(nodes) - 1)
+    return _by_bytes(text, nodes)
+
+
 def parse(text: str | None, language: str | None) -> list[Node]:
     """Nodes of a text; none for null, for what the backend cannot parse, and for an unknown language without braces."""
+    language = (language or "").lower()
     if not text:
         return []
     try:
-        return {"html": html_nodes, "python": python_nodes}.get((language or "").lower(), brace_nodes)(text)
+        if language == "html":
+            return html_nodes(text)
+        if language == "python":
+            return python_nodes(text)
+        if language in _WORD_BLOCKS:
+            return word_nodes(text, language)
+        return brace_nodes(text, language in LINE_ENDS)
     except (SyntaxError, ValueError, RecursionError):
         return []
 
@@ -231,15 +299,17 @@ def sample_nodes(nodes: DataFrame, keys: list[str], seed: int = 7) -> DataFrame:
     return nodes.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(u, F.col("id"))).alias("_n")).select(*keys, "_n.*")
 
 
-def perturbed(chosen: DataFrame, nodes: DataFrame, key: str, share: float = 0.8, seed: int = 7) -> DataFrame:
+def perturbed(chosen: DataFrame, nodes: DataFrame, key: str, share: float = 0.8, seed: int = 7, also: tuple[str, ...] = ()) -> DataFrame:
     """chosen with start_byte and end_byte of the node itself for a share of block and line samples, else of a random part
-    of it, itself included; class and function samples stay whole. Parts are found by a join of intervals within a key."""
+    of it, itself included; class and function samples stay whole. Parts are found by a join of intervals within a key.
+    also: further columns that tell chosen rows apart, where a node may be chosen more than once."""
     parts = nodes.select(F.col(key).alias("_key"), F.col("id").alias("_part"), F.col("start_byte").alias("_start"), F.col("end_byte").alias("_end"))
     inside = chosen.join(parts, (F.col(key) == F.col("_key")) & (F.col("_start") >= F.col("start_byte")) & (F.col("_end") <= F.col("end_byte")))
-    u = uniform(F.col(key), F.col("id"), F.col("_part"), F.lit(seed))
-    drawn = inside.groupBy(key, "id").agg(F.min_by(F.struct("_start", "_end"), F.struct(u, "_part")).alias("_p"))
-    whole = (uniform(F.col(key), F.col("id"), F.lit(seed)) < share) | F.col("grain").isin("class", "function")
-    joined = chosen.join(drawn, [key, "id"], "left")
+    more = [F.col(c) for c in also]
+    u = uniform(F.col(key), F.col("id"), *more, F.col("_part"), F.lit(seed))
+    drawn = inside.groupBy(key, "id", *also).agg(F.min_by(F.struct("_start", "_end"), F.struct(u, "_part")).alias("_p"))
+    whole = (uniform(F.col(key), F.col("id"), *more, F.lit(seed)) < share) | F.col("grain").isin("class", "function")
+    joined = chosen.join(drawn, [key, "id", *also], "left")
     return joined.withColumns({"start_byte": F.when(whole, F.col("start_byte")).otherwise(F.coalesce("_p._start", "start_byte")), "end_byte": F.when(whole, F.col("end_byte")).otherwise(F.coalesce("_p._end", "end_byte"))}).drop("_p")
 
 
@@ -269,6 +339,28 @@ def python_imports():
     return F.pandas_udf(run, "array<string>")
 
 
+def project_modules(modules: Column, installed: Iterable[str] = ()) -> Column:
+    """Those of an array of modules that are not the interpreter's own and not installed: their files may be in the project.
+    A dotted name goes by its first part. Nothing is imported to find out."""
+    known = F.array(*map(F.lit, sorted({*sys.builtin_module_names, *installed})))
+    return F.filter(modules, lambda m: ~F.array_contains(known, F.substring_index(m, ".", 1)))
+
+
+def definition_name(code: str | None, language: str | None) -> str | None:
+    """The name of the first class or function that code defines; null without one."""
+    for node in parse(code, language):
+        if re.search(RULES["class"], node[3]) or re.search(RULES["function"], node[3]):
+            head = (code or "").encode()[node[5] : node[6]].decode("utf-8", "replace").split("{", 1)[0]
+            found = re.search(r"\b(?:class|struct|interface|enum|trait|object|protocol|union|def|func|fn|function|module)\s+([\w$]+)", head) or re.search(r"([\w$~]+)\s*\(", head)
+            return found[1] if found else None
+    return None
+
+
+def has_return(nodes: Column) -> Column:
+    """Whether an array of nodes holds one that returns."""
+    return F.exists(nodes, lambda n: n["type"].rlike(RULES["return"]))
+
+
 def partition_map(df: DataFrame, task, schema: str) -> DataFrame:
     """task(frame) over the chunks of each partition, results in any order."""
 

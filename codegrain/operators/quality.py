@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codegrain.functions.text import strip, uniform
+from codegrain.functions.text import let, strip, uniform
 
 
 def passes_gate(middle: Column, grain: Column) -> Column:
@@ -21,14 +21,15 @@ def in_band(similarity: Column, low: float = 10, high: float = 50) -> Column:
 
 def good_code(text: Column) -> Column:
     """Plausible code: average line under 50 and longest under 100 characters, letters and digits between a tenth and all
-    of it, 11 to 1023 words; all bounds open."""
-    lengths = F.transform(F.split(strip(text), "\n"), lambda x: F.length(x))
-    mean = F.try_divide(F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x).cast("double"), F.size(lengths).cast("double"))
-    longest = F.array_max(lengths)
-    share = lambda kind: F.try_divide(F.regexp_count(text, F.lit(kind)).cast("double"), F.length(text).cast("double"))
-    n = F.regexp_count(text, F.lit(r"(?U)\S+"))
+    of it, 11 to 1023 words; all bounds open. Cheap conditions come first and each text is cut into lines once."""
     inside = lambda x, a, b: (x > a) & (x < b)
-    return F.coalesce(inside(mean, 1, 50) & inside(longest, 1, 100) & inside(share(r"[\p{L}\p{N}]"), 0.1, 1) & inside(share(r"\p{L}"), 0.1, 1) & inside(n, 10, 1024), F.lit(False))
+    lengths = F.transform(F.split(strip(text), "\n"), lambda x: F.length(x))
+    mean = lambda n: F.try_divide(F.aggregate(n, F.lit(0).cast("long"), lambda s, x: s + x).cast("double"), F.size(n).cast("double"))
+    lines = let(lengths, lambda n: inside(F.array_max(n), 1, 100) & inside(mean(n), 1, 50))
+    share = lambda c: inside(F.try_divide(F.length(c).cast("double"), F.length(text).cast("double")), 0.1, 1)
+    letters = let(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""), lambda c: share(c) & share(F.regexp_replace(c, r"\p{N}+", "")))
+    words = inside(F.regexp_count(text, F.lit(r"(?U)\S+")), 10, 1024)
+    return F.when(lines & words, F.coalesce(letters, F.lit(False))).otherwise(F.lit(False))
 
 
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codegrain.functions.text import header_class_name
 from codegrain.operators.nodes import hushed
 
 #: How a function without its body ends.
@@ -153,3 +155,26 @@ def merge_class_udf():
         return pd.Series(list(map(merge_class, header, source, name)), dtype=object)
 
     return run
+
+
+def merged_files(files: DataFrame) -> DataFrame:
+    """C++ files (repo, path, code) with headers and sources of one stem put together under the header's path: the i-th
+    header of a stem with its i-th source, by path; the class is the one that the header names, else the stem. What is left
+    over stays as it is, and so do files of other endings. Codes may be null: they count as empty headers."""
+    stem, ending = F.regexp_extract("path", r"([^/]*?)(\.[^./]*)?$", 1), F.regexp_extract("path", r"(\.[^./]*)?$", 1)
+    nth = F.row_number().over(Window.partitionBy("repo", "stem", "ending").orderBy("path"))
+    placed = files.select("repo", "path", "code", stem.alias("stem"), ending.alias("ending"))
+    both = placed.where("ending in ('.h', '.cpp')").withColumn("nth", nth)
+    header = both.where("ending = '.h'").select("repo", "stem", "nth", F.col("path").alias("h"), F.col("code").alias("header"))
+    source = both.where("ending = '.cpp'").select("repo", "stem", "nth", F.col("path").alias("s"), F.col("code").alias("source"))
+    pairs = header.join(source, ["repo", "stem", "nth"], "full_outer")
+    name = header_class_name(F.coalesce("header", F.lit("")), F.col("stem"))
+    merged = F.coalesce(merge_class_udf()("header", "source", name), F.col("source"))
+    code = F.when(F.col("h").isNull(), F.col("source")).when(F.col("s").isNull(), F.col("header")).otherwise(merged)
+    return pairs.select("repo", F.coalesce("h", "s").alias("path"), code.alias("code")).unionByName(placed.where("ending not in ('.h', '.cpp')").select("repo", "path", "code"))
+
+
+def signature(code: str | None) -> tuple[str, str] | None:
+    """(name, parameters) of the first function that braces code declares; null without one."""
+    found = re.search(r"([\w~:]+)\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?:const\b\s*)?[{;]", hushed(code or ""))
+    return (found[1], (code or "")[found.start(2) : found.end(2)].strip()) if found else None

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.functions import comments, similarity, text
-from codegrain.operators import nodes, paths, quality, registry, relevance
+from codegrain.operators import nodes, paths, quality, ranking, registry, relevance
 from codegrain.plans import prompt, score
 from codegrain.sources import jsonl
 
@@ -32,27 +31,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- similarity of answers -------------------------------------------------------------------------------------------
 
-PAIRS_SQL = r"""WITH chat AS (
-  SELECT conv_id, turn, left(regexp_replace(text, '[^ -~]', '', 'g'), 300) AS t FROM conversations
-), pairs AS (
-  SELECT b.conv_id, b.turn, a.t AS a, b.t AS b FROM chat a JOIN chat b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+#: DuckDB counts bytes, so each pair's characters become ASCII ones by their place among those of the pair.
+PAIRS_SQL = r"""WITH pairs AS (
+  SELECT b.conv_id, b.turn, string_split(a.text, '') AS a, string_split(b.text, '') AS b, length(a.text) AS n, length(b.text) AS m
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+), lettered AS (
+  SELECT *, list_distinct(list_concat(a, b)) AS v FROM pairs WHERE n + m > 0
+), told AS (
+  SELECT *, coalesce(list_aggregate(list_transform(a, lambda x: chr(CAST(33 + list_position(v, x) AS INT))), 'string_agg', ''), '') AS la,
+         coalesce(list_aggregate(list_transform(b, lambda x: chr(CAST(33 + list_position(v, x) AS INT))), 'string_agg', ''), '') AS lb FROM lettered
 ), scores AS (
-  SELECT conv_id, turn, a, b, round((1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b))) * 100, 4) AS score FROM pairs WHERE length(a) + length(b) > 0
+  SELECT conv_id, turn, round((1 - levenshtein(CASE WHEN n = 0 THEN '' ELSE la END, CASE WHEN m = 0 THEN '' ELSE lb END)::DOUBLE / greatest(n, m)) * 100, 4) AS score FROM told
 )"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn with the one before it, in printable ASCII, 300 characters at most: the feature is the pairwise distance."""
-    chat = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 300).alias("t"))
-    before = chat.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("t").alias("a"))
-    return before.join(chat.withColumnRenamed("t", "b"), ["conv_id", "turn"]).where("length(a) + length(b) > 0")
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs dealt evenly: a distance costs much more than its row weighs, so small tables should use all tasks."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
 
 
-def _whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn with the one before it, whole and with all characters."""
     chat = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("t"))
     before = chat.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("t").alias("a"))
-    return before.join(chat.withColumnRenamed("t", "b"), ["conv_id", "turn"]).where("length(a) + length(b) > 0")
+    return _dealt(before.join(chat.withColumnRenamed("t", "b"), ["conv_id", "turn"]).where("length(a) + length(b) > 0"))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,20 +66,33 @@ def edit_similarity_char(spark, sf_dir):
     return _scores(spark, sf_dir).select("conv_id", "turn", "score")
 
 
-@query(r"""WITH chat AS (
-  SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')[1:40] AS t FROM conversations
-), pairs AS (
-  SELECT b.conv_id, b.turn, a.t AS a, b.t AS b, list_distinct(list_concat(a.t, b.t)) AS v FROM chat a JOIN chat b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
-), letters AS (
-  SELECT *, list_aggregate(list_transform(a, lambda x: chr(CAST(33 + list_position(v, x) AS INT))), 'string_agg', '') AS la,
-         list_aggregate(list_transform(b, lambda x: chr(CAST(33 + list_position(v, x) AS INT))), 'string_agg', '') AS lb FROM pairs
-)
-SELECT conv_id, turn, round((1 - levenshtein(la, lb)::DOUBLE / greatest(len(a), len(b))) * 100, 4) AS score FROM letters WHERE len(a) > 0 AND len(b) > 0""")
+@query()
 def edit_similarity_token(spark, sf_dir):
-    chat = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(text.code_tokens(F.col("text")), 1, 40).alias("t"))
-    before = chat.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("t").alias("a"))
-    pairs = before.join(chat.withColumnRenamed("t", "b"), ["conv_id", "turn"]).where("size(a) > 0 and size(b) > 0")
-    return pairs.select("conv_id", "turn", similarity.token_similarity(F.col("a"), F.col("b")).alias("score"))
+    """Over all tokens of whole turns."""
+    tokens = _pairs(spark, sf_dir).select("conv_id", "turn", text.code_tokens(F.col("a")).alias("a"), text.code_tokens(F.col("b")).alias("b")).where("size(a) > 0 and size(b) > 0")
+    return tokens.select("conv_id", "turn", similarity.token_similarity(F.col("a"), F.col("b")).alias("score"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as model answers to the turn before them, wrapped in the four ways in which models mark code."""
+    kinds = F.array(*map(F.lit, ("CLASS_TYPE", "FUNCTION_TYPE", "BLOCK_TYPE", "LINE_TYPE")))
+    language = F.when(F.col("conv_id") % 2 == 0, "python").otherwise("java")
+    fence = F.concat(F.lit("```"), language)
+    how = F.when(F.col("turn") % 4 == 0, F.concat(fence, F.lit("\n[TASK_BEGIN]"), "b", F.lit("[TASK_END]\n```"))).when(F.col("turn") % 4 == 1, F.concat(F.lit("so: [TASK_BEGIN]"), "b", F.lit("[TASK_END]"))).when(F.col("turn") % 4 == 2, F.concat(fence, F.lit("\n"), "b", F.lit("\n```"))).otherwise(F.col("b"))
+    fill = F.element_at(kinds, (F.col("conv_id") % 4 + 1).cast("int"))
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("sample_id"), F.when(F.col("turn") % 4 == 3, "raw").otherwise("chat").alias("model"), language.alias("language"), fill.alias("fill_type"), F.col("a").alias("true_code"), how.alias("answer"))
+
+
+@query()
+def scored_answers(spark, sf_dir):
+    """Answers scored against the code they should be: extraction, comment removal, distance over tokens."""
+    return score.scored(_answers(spark, sf_dir), raw_models=("raw",)).select("conv_id", "turn", "language", "fill_type", F.length("true_clean").alias("true_chars"), F.length("predicted_clean").alias("predicted_chars"), "similarity")
+
+
+@query()
+def scored_report(spark, sf_dir):
+    """The report over scored answers: a row for each language, a column for each grain."""
+    return score.report(score.scored(_answers(spark, sf_dir), raw_models=("raw",)))
 
 
 GRAIN_SQL = """WITH marked AS (
@@ -125,16 +140,9 @@ def difficulty_band(spark, sf_dir):
 # --- comments and code extraction ------------------------------------------------------------------------------------
 
 
-@query(r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([^\n])#[^\n]*', '\1', 'g'), '(^|\n)#[^!/\n][^\n]*', '\1', 'g') AS t FROM documents WHERE contains(text, '#') AND NOT regexp_matches(text, '(^|\n)\s*#') AND NOT regexp_matches(text, '\n#'))
-SELECT doc_id, t AS code FROM c""")
+@query(r"""WITH lines AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^(.[^#]*)#.*$', '\1', 's')) AS l FROM documents)
+SELECT doc_id, CASE WHEN text ~ '(?s).*\S.*' THEN regexp_replace(array_to_string(l, chr(10)), '(?m)^\s*#([^!/\n][^\n]*)?$', '', 'g') ELSE text END AS code FROM lines JOIN documents USING (doc_id)""")
 def strip_hash_comments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("#")) & ~F.col("text").rlike(r"(^|\n)\s*#"))
-    return docs.select("doc_id", comments.strip_comments(F.col("text"), "r", blank_lines=False).alias("code"))
-
-
-@query()
-def strip_hash_comments_whole(spark, sf_dir):
-    """strip_hash_comments on all documents; its SQL leaves out those without '#' and with one at the start of a line."""
     return table(spark, sf_dir, "documents").select("doc_id", comments.strip_comments(F.col("text"), "r", blank_lines=False).alias("code"))
 
 
@@ -238,57 +246,72 @@ n AS (SELECT doc_id, w, lead(w) OVER (PARTITION BY source ORDER BY doc_id) AS v
 SELECT doc_id, round(len(list_intersect(w, v))::DOUBLE / nullif(len(list_distinct(list_concat(w, v))), 0), 6) AS jaccard FROM n WHERE v IS NOT NULL""")
 def jaccard_pairs(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(text.words(F.lower("text"))).alias("w"))
-    pairs = docs.withColumn("v", F.lead("w").over(Window.partitionBy("source").orderBy("doc_id"))).where("v is not null")
+    placed = ranking.ranked_in(docs.select("source", "doc_id"), ["source"], [F.col("doc_id")])
+    after = placed.select("source", F.col("doc_id").alias("next_id"), (F.col("rank") - 1).alias("rank"))
+    pairs = placed.join(after, ["source", "rank"]).select("doc_id", "next_id").join(docs.select("doc_id", "w"), "doc_id").join(docs.select(F.col("doc_id").alias("next_id"), F.col("w").alias("v")), "next_id")
     return pairs.select("doc_id", F.round(similarity.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
 @query()
 def fuzzy_ratio(spark, sf_dir):
     ratio = similarity.fuzzy_ratio()
-    return _whole_pairs(spark, sf_dir).select("conv_id", "turn", ratio("a", "b").alias("ratio")).groupBy("conv_id").agg(F.round(F.avg("ratio"), 6).alias("mean_ratio"))
+    return _pairs(spark, sf_dir).select("conv_id", "turn", ratio("a", "b").alias("ratio")).groupBy("conv_id").agg(F.round(F.avg("ratio"), 6).alias("mean_ratio"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 10), s AS (
-  SELECT query_id, vec_id, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS c FROM q, embeddings WHERE vec_id <> query_id)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (
+  SELECT query_id, vec_id, round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 9) AS c FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, vec_id, round(c, 4) AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) <= 5""")
 def cosine_topk(spark, sf_dir):
     every = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = every.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))  # ten rows
-    scored = every.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).withColumn("c", similarity.cosine(F.col("q"), F.col("embedding")))
-    top = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))
-    return scored.withColumn("rank", top).where("rank <= 5").select("query_id", "vec_id", F.round("c", 4).alias("cosine"))
+    asked = every.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return ranking.closest(asked, every, 5).select("query_id", "vec_id", F.round("cosine", 4).alias("cosine"))
+
+
+#: Queries (sid, repo, mine, t) on files (repo, path, t): a query's corpus is itself and the files of its repo but its own.
+BM25_SQL = """, corpora AS (SELECT q.sid, q.mine, count(*) + 1 AS n, (sum(len(f.t)) + any_value(len(q.t)))::DOUBLE / (count(*) + 1) AS mean
+  FROM q JOIN f ON f.repo = q.repo AND f.path IS DISTINCT FROM q.mine GROUP BY ALL),
+ft AS (SELECT repo, path, term, count(*) AS tf FROM (SELECT repo, path, unnest(t) AS term FROM f) GROUP BY ALL),
+qt AS (SELECT sid, repo, mine, term, count(*) AS qtf FROM (SELECT sid, repo, mine, unnest(t) AS term FROM q) GROUP BY ALL),
+found AS (SELECT qt.sid, ft.path, ft.term, qt.qtf, ft.tf FROM qt JOIN ft ON ft.repo = qt.repo AND ft.term = qt.term AND ft.path IS DISTINCT FROM qt.mine),
+df AS (SELECT sid, term, count(*) + 1 AS df FROM found GROUP BY ALL),
+scored AS (SELECT sid, found.path, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(f.t) / mean))) AS s
+  FROM found JOIN df USING (sid, term) JOIN corpora USING (sid) JOIN f ON f.path = found.path GROUP BY ALL),
+every AS (SELECT q.sid, f.path, coalesce(s, 0.0::DOUBLE) AS s FROM q JOIN f ON f.repo = q.repo AND f.path IS DISTINCT FROM q.mine LEFT JOIN scored ON scored.sid = q.sid AND scored.path = f.path)"""
+RANK_SQL = """, rel AS (SELECT sid, path, round(s, 9) / nullif(sum(round(s, 9)) OVER (PARTITION BY sid), 0) AS r FROM every)
+SELECT sid AS sample_id, path AS doc_id, round(r, 6) AS relevance, row_number() OVER (PARTITION BY sid ORDER BY round(r, 9) DESC NULLS FIRST, path DESC) AS rank FROM rel"""
+ITEMS_SQL = r"""WITH q AS (SELECT item_id AS sid, 0 AS repo, NULL::BIGINT AS mine, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t FROM benchmark WHERE item_id % 20 = 0),
+f AS (SELECT 0 AS repo, doc_id AS path, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t FROM documents)"""
 
 
-BM25_SQL = r"""WITH q AS (SELECT item_id AS sid, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t FROM benchmark WHERE item_id < 10),
-d AS (SELECT doc_id + 1 AS idx, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t FROM documents WHERE source = 'src0'),
-alldocs AS (SELECT sid, 0::BIGINT AS idx, t FROM q UNION ALL SELECT q.sid, d.idx, d.t FROM q, d),
-shape AS (SELECT sid, count(*) AS n, avg(len(t)) AS mean FROM alldocs GROUP BY sid),
-terms AS (SELECT sid, idx, unnest(t) AS term, len(t) AS dl FROM alldocs),
-tf AS (SELECT sid, idx, term, any_value(dl) AS dl, count(*) AS tf FROM terms GROUP BY ALL),
-df AS (SELECT sid, term, count(*) AS df FROM tf GROUP BY ALL),
-scored AS (SELECT tf.sid, tf.idx, sum(qt.tf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / mean))) AS s
-  FROM tf JOIN tf qt ON qt.sid = tf.sid AND qt.term = tf.term AND qt.idx = 0 JOIN df ON df.sid = tf.sid AND df.term = tf.term JOIN shape ON shape.sid = tf.sid WHERE tf.idx > 0 GROUP BY ALL),
-every AS (SELECT a.sid, a.idx, coalesce(s, 0.0::DOUBLE) AS s FROM alldocs a LEFT JOIN scored USING (sid, idx) WHERE a.idx > 0)"""
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 20th item as a query against all documents."""
+    of = lambda name, key, alias: table(spark, sf_dir, name).select(F.lit(0).alias("repo"), F.col(key).alias(alias), text.words(F.col("text")).alias("tokens"))
+    asked = of("benchmark", "item_id", "sample_id").where("sample_id % 20 = 0").withColumn("path", F.lit(None).cast("long"))
+    return relevance.bm25(of("documents", "doc_id", "path"), asked).select("sample_id", "path", "bm25")
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten queries against the documents of one source: what is ranked for a sample is its repository."""
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 10").select(F.col("item_id").alias("sample_id"), text.words(F.col("text")).alias("tokens"))
-    docs = table(spark, sf_dir, "documents").where("source = 'src0'").select((F.col("doc_id") + 1).alias("doc_idx"), text.words(F.col("text")).alias("tokens"))
-    corpus = docs.join(F.broadcast(asked.select("sample_id")))  # ten ids
-    return relevance.bm25(corpus, asked)
+def _ranks(scored: DataFrame) -> DataFrame:
+    known = scored.withColumn("relevance", F.round(F.nanvl("relevance", F.lit(None).cast("double")), 6))
+    return known.select("sample_id", F.col("path").alias("doc_id"), "relevance", "rank")
 
 
-@query(BM25_SQL + " SELECT sid AS sample_id, idx AS doc_idx, round(s, 6) AS bm25 FROM every")
+@query(ITEMS_SQL + BM25_SQL + " SELECT sid AS sample_id, path AS doc_id, round(s, 6) AS bm25 FROM every")
 def bm25_scores(spark, sf_dir):
-    return _bm25(spark, sf_dir).select("sample_id", "doc_idx", F.round("bm25", 6).alias("bm25"))
+    return _bm25(spark, sf_dir).select("sample_id", F.col("path").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
-@query(BM25_SQL + """, rel AS (SELECT sid, idx, round(s, 9) / nullif(sum(round(s, 9)) OVER (PARTITION BY sid), 0) AS r FROM every)
-SELECT sid AS sample_id, idx AS doc_idx, round(r, 6) AS relevance, row_number() OVER (PARTITION BY sid ORDER BY round(r, 9) DESC NULLS FIRST, idx DESC) AS rank FROM rel""")
+@query(ITEMS_SQL + BM25_SQL + RANK_SQL)
 def bm25_rank(spark, sf_dir):
-    ranked = relevance.ranked(_bm25(spark, sf_dir).withColumn("bm25", F.round("bm25", 9)))
-    return ranked.select("sample_id", "doc_idx", F.round(F.nanvl("relevance", F.lit(None).cast("double")), 6).alias("relevance"), F.col("rank").cast("long").alias("rank"))
+    return _ranks(relevance.ranked(_bm25(spark, sf_dir).withColumn("bm25", F.round("bm25", 9))))
+
+
+@query(r"""WITH f AS (SELECT source AS repo, doc_id AS path, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t FROM documents),
+q AS (SELECT path AS sid, repo, path AS mine, t FROM f WHERE path % 20 = 0)""" + BM25_SQL + RANK_SQL)
+def context_rank(spark, sf_dir):
+    """For every 20th document, the other documents of its source in the order of their relevance to it."""
+    files = table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("path"), text.words(F.col("text")).alias("tokens"))
+    asked = files.where("path % 20 = 0").withColumn("sample_id", F.col("path"))
+    return _ranks(relevance.ranked(relevance.bm25(files, asked).withColumn("bm25", F.round("bm25", 9))))
 
 
 @query("""SELECT page_id, CAST(len(list_filter(['index', 'page', 'a', 'site'], lambda m: contains(url || '/' || (['index', 'page', 'main'])[CAST(page_id % 3 + 1 AS INT)] || '.py', m || '.py'))) AS INT) AS hits FROM pages""")
@@ -313,28 +336,46 @@ def header_impl_pairs(spark, sf_dir):
 @query("""WITH m(model, url, temperature) AS (VALUES ('click', 'http://a', 0.7::DOUBLE), ('view', 'http://b', 0.2))
 SELECT event_type AS model, coalesce(url, '') AS url, temperature, url IS NOT NULL AS listed, count(*) AS n FROM events LEFT JOIN m ON model = event_type GROUP BY ALL""")
 def model_registry_join(spark, sf_dir):
-    registry = spark.createDataFrame([("click", "http://a", 0.7), ("view", "http://b", 0.2)], "model string, url string, temperature double")
+    schema = "model string, url string, api_key string, model_name string, if_inference boolean, temperature double"
+    known = spark.createDataFrame([("click", "http://a", None, None, None, 0.7), ("view", "http://b", None, None, None, 0.2)], schema)
     used = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("n"))
-    return used.join(F.broadcast(registry), "model", "left").select("model", F.coalesce("url", F.lit("")).alias("url"), "temperature", F.col("url").isNotNull().alias("listed"), "n")
+    resolved = registry.resolve(used.select("model"), spark.createDataFrame([], schema), known)
+    return resolved.join(used, "model").select("model", "url", "temperature", (F.col("url") != "").alias("listed"), "n")
+
 
+_PARTS = ("", "src/", "tests/", "docs/", "vendor/", "bin/", "tb/", "Pods/", "renv/", "spec/", "project/", "storage/", "lib/test_", "x.d.ts/", ".")
 
-_DENIED_SQL = " OR ".join(f"contains(p, '{x}')" for x in paths.denied("python"))
 
+def _denied_sql() -> str:
+    """CASE over languages: the endings and denied parts of each."""
+    cases = []
+    for name, endings in paths.EXTENSIONS.items():
+        no = [f"contains(p, '{x}')" for x in paths.denied(name)]
+        if name in paths.TOGETHER:
+            no.append("(" + " AND ".join(f"contains(p, '{x}')" for x in paths.TOGETHER[name]) + ")")
+        if name in paths.UNLESS:
+            no.append("(contains(p, '{}') AND NOT contains(p, '{}'))".format(*paths.UNLESS[name]))
+        if name in paths.NO_DOT_FILES:
+            no.append("starts_with(split_part(p, '/', -1), '.')")
+        cases.append(f"WHEN '{name}' THEN ({' OR '.join(f"suffix(p, '{e}')" for e in endings)}) AND NOT ({' OR '.join(no)})")
+    return "CASE language " + " ".join(cases) + " ELSE false END"
 
-@query(f"""WITH f AS (SELECT page_id, (['src/a.py', 'tests/b.py', 'docs/c.py', 'pkg/setup.py', 'x/y.java', 'lib/z.py'])[CAST(page_id % 6 + 1 AS INT)] AS p FROM pages)
-SELECT page_id, suffix(p, '.py') AND NOT ({_DENIED_SQL}) AS kept FROM f""")
+
+@query(f"""WITH l(language, ending) AS (VALUES {", ".join(f"('{n}', '{e[0]}')" for n, e in paths.EXTENSIONS.items())}, ('cobol', '.cbl')),
+f AS (SELECT page_id, language, ({list(_PARTS)})[CAST(page_id % {len(_PARTS)} + 1 AS INT)] || 'f' || page_id || ending AS p FROM pages, l)
+SELECT page_id, language, {_denied_sql()} AS kept FROM f""")
 def deny_path_filter(spark, sf_dir):
-    path = F.element_at(F.array(*map(F.lit, ("src/a.py", "tests/b.py", "docs/c.py", "pkg/setup.py", "x/y.java", "lib/z.py"))), (F.col("page_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", paths.is_source(path, "python").alias("kept"))
+    """Every page as a file of every language, in folders that some of them deny."""
+    languages = F.array(*(F.struct(F.lit(n).alias("language"), F.lit(e[0]).alias("ending")) for n, e in (*paths.EXTENSIONS.items(), ("cobol", (".cbl",)))))
+    part = F.element_at(F.array(*map(F.lit, _PARTS)), (F.col("page_id") % len(_PARTS) + 1).cast("int"))
+    files = table(spark, sf_dir, "pages").select("page_id", F.inline(languages)).select("page_id", "language", F.concat(part, F.lit("f"), F.col("page_id").cast("string"), F.col("ending")).alias("path"))
+    return files.select("page_id", "language", paths.is_source_by(F.col("path"), F.col("language")).alias("kept"))
 
 
 @query("""SELECT page_id, suffix(url, '.html') OR suffix(url, '.htm') AS html, NOT (starts_with(split_part(url, '/', 3), '.') OR split_part(url, '/', 3) = 'build') AS repo_kept FROM pages""")
 def extension_filter(spark, sf_dir):
-    html = F.lit(False)
-    for ending in paths.EXTENSIONS["html"]:
-        html = html | F.endswith("url", F.lit(ending))
     repo = F.split_part("url", F.lit("/"), F.lit(3))
-    return table(spark, sf_dir, "pages").select("page_id", html.alias("html"), (~F.startswith(repo, F.lit(".")) & (repo != "build")).alias("repo_kept"))
+    return table(spark, sf_dir, "pages").select("page_id", paths.has_ending(F.col("url"), "html").alias("html"), jsonl.is_repo(repo).alias("repo_kept"))
 
 
 _VALUES = lambda names: ", ".join(f"('{n}')" for n in names)
@@ -396,7 +437,8 @@ def weighted_grain_sample(spark, sf_dir):
 SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL""")
 def html_elements(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("code"), F.lit("html").alias("language"))
-    found = nodes.exploded(nodes.with_nodes(pages)).where(F.col("tag").isin(*nodes.BLOCK_TAGS, *nodes.LINE_TAGS))
+    tags = F.filter(F.transform("nodes", lambda x: x["tag"]), lambda tag: tag.isin(*nodes.BLOCK_TAGS, *nodes.LINE_TAGS))
+    found = nodes.with_nodes(pages).select("page_id", F.explode(tags).alias("tag"))
     return found.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
@@ -417,19 +459,13 @@ def subpart_perturb(spark, sf_dir):
     return nodes.perturbed(nodes.sample_nodes(slim, ["file", "grain"]), slim, "file").select("file", "grain", "sub_task", "id", "start_byte", "end_byte")
 
 
-@query()
-def fim_mask_whole(spark, sf_dir):
-    """fim_mask on documents in any script; its SQL, which cuts by characters, knows ASCII ones only."""
-    n = F.octet_length("text")
-    return table(spark, sf_dir, "documents").select("doc_id", text.masked(F.col("text"), F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")).alias("m")).select("doc_id", "m.*")
-
-
-@query(r"""WITH a AS (SELECT doc_id, text, length(text) // 3 AS s, 2 * length(text) // 3 AS e FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))
-SELECT doc_id, substr(text, 1, s) AS prefix, substr(text, s + 1, e - s) AS middle, substr(text, e + 1) AS suffix FROM a""")
+@query(r"""WITH chars AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(length(text))) AS i FROM documents WHERE length(text) > 0),
+ends AS (SELECT doc_id, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM chars),
+cuts AS (SELECT doc_id, count(*) FILTER (e <= strlen(text) // 3) AS s, count(*) FILTER (e <= 2 * strlen(text) // 3) AS t FROM documents LEFT JOIN ends USING (doc_id) GROUP BY doc_id, text)
+SELECT doc_id, substr(text, 1, s) AS prefix, substr(text, s + 1, t - s) AS middle, substr(text, t + 1) AS suffix FROM documents JOIN cuts USING (doc_id)""")
 def fim_mask(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
     n = F.octet_length("text")
-    return docs.select("doc_id", text.masked(F.col("text"), F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")).alias("m")).select("doc_id", "m.*")
+    return table(spark, sf_dir, "documents").select("doc_id", text.masked(F.col("text"), F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")).alias("m")).select("doc_id", "m.*")
 
 
 _TYPES = ("import_statement", "comment", "if_statement", "for_in_statement", "while_statement", "return_expression", "expression_statement", "assignment", "struct_specifier", "method_declaration", "identifier")
@@ -524,16 +560,8 @@ def line_metrics(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents)
-SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term HAVING count(DISTINCT doc_id) > 20""")
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term""")
 def document_frequency(spark, sf_dir):
-    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.lower("text"))).alias("term"))
-    by_doc = terms.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return by_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where("df > 20")
-
-
-@query()
-def document_frequency_whole(spark, sf_dir):
-    """document_frequency of every term; its SQL keeps those in more than 20 documents."""
     terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.words(F.lower("text"))).alias("term"))
     by_doc = terms.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
     return by_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
@@ -541,51 +569,104 @@ def document_frequency_whole(spark, sf_dir):
 
 # --- Python backends, files, streams ---------------------------------------------------------------------------------
 
-_CODE = [
-    ("m.py", "python", "import os\nimport a.b\nfrom .c import d, e\nclass A(B):\n    def f(self, x: int) -> int:\n        return x\n\ndef g(y):\n    return y\n"),
-    ("A.java", "java", "import x.Y;\nclass A extends B {\n  int n;\n  int f(int x) { return x; }\n}\n"),
-    ("a.cpp", "cpp", "#include <x>\nclass A {\npublic:\n  int f(int x) { return x; }\n};\n"),
-    ("m.rb", "ruby", "class A\n  def f(x)\n    x\n  end\nend\n"),
-]
+#: A small file in each of some languages; NAME becomes the name of the row it is made for.
+_CODE = {
+    "python": "import os\nimport a.b\nfrom .c import d, e\nclass NAME(B):\n    def f(self, x: int) -> int:\n        return x\n\ndef g(y):\n    return y\n",
+    "java": "import x.Y;\nclass NAME extends B {\n  int n;\n  int f(int x) { return x; }\n}\n",
+    "cpp": "#include <x>\nclass NAME {\npublic:\n  int f(int x) { return x; }\n};\n",
+    "ruby": "class NAME\n  def f(x)\n    x\n  end\nend\n",
+    "lua": "function NAME(x)\n  return x\nend\n",
+    "go": "func NAME(x int) int {\n\treturn x\n}\n",
+    "html": "<div><a>NAME</a></div>\n",
+}
 
 
-def _code(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_CODE, "path string, language string, code string")
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each part of the table and language, named by the part's key."""
+    files = F.array(*(F.struct(F.lit(n).alias("language"), F.lit(c).alias("body")) for n, c in _CODE.items()))
+    every = table(spark, sf_dir, "part").select("p_partkey", F.inline(files))
+    return every.select("p_partkey", "language", F.replace("body", F.lit("NAME"), F.concat(F.lit("P"), F.col("p_partkey"))).alias("code"))
 
 
-@query()
+@query("""SELECT p_partkey, 'os,a.b,c,d,e' AS modules, 'a.b,c,d,e' AS project FROM part""")
 def python_imports(spark, sf_dir):
-    return _code(spark).where("language = 'python'").select("path", F.array_join(nodes.python_imports()("code"), ",").alias("modules"))
+    found = _code(spark, sf_dir).where("language = 'python'").select("p_partkey", nodes.python_imports()("code").alias("m"))
+    return found.select("p_partkey", F.array_join("m", ",").alias("modules"), F.array_join(nodes.project_modules(F.col("m"), ("os",)), ",").alias("project"))
 
 
-@query()
+_SHAPES = """WITH s(language, class_, function_) AS (VALUES
+  ('python', 'class NAME(B):' || chr(10) || '    def f(self, x: int) -> int:' || chr(10) || '        pass' || chr(10) || 'def g(y):' || chr(10) || '    pass', '    def f(self, x: int) -> int:' || chr(10) || '        pass' || chr(10) || 'def g(y):' || chr(10) || '    pass'),
+  ('java', 'import x.Y; class NAME extends B' || chr(10) || '{' || chr(10) || 'int n;' || chr(10) || 'int f(int x) {}' || chr(10) || '}', 'import x.Y; class NAME extends B {}'),
+  ('cpp', '#include <x> class NAME' || chr(10) || '{' || chr(10) || 'public: int f(int x) {}' || chr(10) || '};', '#include <x> class NAME {}'),
+  ('ruby', 'class NAME' || chr(10) || '  def f(x)' || chr(10) || '  end' || chr(10) || 'end', 'class NAME end'),
+  ('lua', NULL, 'function NAME(x) end'), ('go', 'func NAME(x int) int' || chr(10) || '{' || chr(10) || '}', 'func NAME(x int) int {}'), ('html', NULL, NULL))"""
+
+
+@query(_SHAPES + " SELECT p_partkey, language, replace(class_, 'NAME', 'P' || p_partkey) AS skeleton FROM part, s")
 def class_skeleton(spark, sf_dir):
     from codegrain.operators.skeletons import class_skeleton_udf
 
-    return _code(spark).select("path", class_skeleton_udf()("code", "language").alias("skeleton"))
+    return _code(spark, sf_dir).select("p_partkey", "language", class_skeleton_udf()("code", "language").alias("skeleton"))
 
 
-@query()
+@query(_SHAPES + " SELECT p_partkey, language, replace(function_, 'NAME', 'P' || p_partkey) AS skeleton FROM part, s")
 def function_skeleton(spark, sf_dir):
     from codegrain.operators.skeletons import function_skeleton_udf
 
-    return _code(spark).select("path", function_skeleton_udf()("code", "language").alias("skeleton"))
+    return _code(spark, sf_dir).select("p_partkey", "language", function_skeleton_udf()("code", "language").alias("skeleton"))
 
 
-@query()
+@query("""SELECT p_partkey, 'part' AS repo, CASE p_partkey % 3 WHEN 0 THEN 'P' || p_partkey || '.cpp' ELSE 'P' || p_partkey || '.h' END AS path,
+  CASE p_partkey % 3 WHEN 0 THEN 'int P' || p_partkey || '::f(int x) { return x + 1; }'
+    WHEN 1 THEN 'class P' || p_partkey || ' {' || chr(10) || '  public:' || chr(10) || '    int f(int x) { return x + 1; }' || chr(10) || '    int n;' || chr(10) || '};'
+    ELSE 'class P' || p_partkey || ' {' || chr(10) || 'public:' || chr(10) || '  int f(int x);' || chr(10) || '  int n;' || chr(10) || '};' END AS code FROM part""")
 def cpp_merge(spark, sf_dir):
-    from codegrain.operators.skeletons import merge_class_udf
+    """A table of headers and sources, some of which belong together."""
+    from codegrain.operators.skeletons import merged_files
+
+    key = F.col("p_partkey")
+    name = F.concat(F.lit("P"), key)
+    header = F.concat(F.lit("class "), name, F.lit(" {\npublic:\n  int f(int x);\n  int n;\n};"))
+    source = F.concat(F.lit("int "), name, F.lit("::f(int x) { return x + 1; }"))
+    file = lambda ending, code: F.struct(F.concat(name, F.lit(ending)).alias("path"), code.alias("code"))
+    some = F.when(key % 3 == 0, F.array(file(".cpp", source))).when(key % 3 == 1, F.array(file(".h", header), file(".cpp", source))).otherwise(F.array(file(".h", header)))
+    files = table(spark, sf_dir, "part").select(key, F.lit("part").alias("repo"), F.inline(some))
+    return merged_files(files.drop("p_partkey")).withColumn("p_partkey", F.regexp_extract("path", r"P(\d+)", 1).cast("long"))
+
 
-    pair = spark.createDataFrame([("class A {\npublic:\n  int f(int x);\n  int n;\n};", "int A::f(int x) { return x + 1; }", "A")], "header string, source string, name string")
-    return pair.select(merge_class_udf()("header", "source", "name").alias("code"))
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the files of their site, with a line for each tag."""
+    html = F.replace("html", F.lit("><"), F.lit(">\n<"))
+    return table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("repo_name"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("html").alias("language"), html.alias("code"))
 
 
 @query()
 def construct_tasks(spark, sf_dir):
     from codegrain.plans.construct import tasks
 
-    pages = table(spark, sf_dir, "pages").select(F.lit("site").alias("repo_name"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.lit("html").alias("language"), F.replace("html", F.lit("><"), F.lit(">\n<")).alias("code"))
-    return tasks(pages)
+    return tasks(_sites(spark, sf_dir), per_repo=None)
+
+
+@query()
+def construct_context(spark, sf_dir):
+    """For each task the other pages of its site, the most relevant first."""
+    from codegrain.plans.construct import task_context, tasks
+
+    files = _sites(spark, sf_dir)
+    return task_context(tasks(files, per_repo=None), files)
+
+
+@query()
+def construct_kept(spark, sf_dir):
+    """Tasks with answers that are more or less of what was asked, as records: those in the band."""
+    from codegrain.plans.construct import kept_tasks, records, tasks
+
+    made = tasks(_sites(spark, sf_dir), per_repo=None)
+    share = F.element_at(F.array(*map(F.lit, (0.02, 0.25, 0.4, 1.0))), (F.pmod(F.crc32(F.col("sample_id").cast("binary")), F.lit(4)) + 1).cast("int"))
+    part = F.substring(F.col("middle"), F.lit(1), F.ceil(F.length("middle") * share).cast("int"))
+    answers = made.select("sample_id", F.lit("m").alias("model"), F.explode(F.array(F.lit(0), F.lit(1))).alias("try"), F.concat(F.lit("```html\n"), part, F.lit("\n```")).alias("full"))
+    answers = answers.select("sample_id", "model", "try", F.when(F.col("try") == 0, "").otherwise(F.col("full")).alias("answer"))
+    return records(kept_tasks(made, answers, per_repo=None), now=F.to_timestamp(F.lit("2024-01-01 00:00:00")))
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

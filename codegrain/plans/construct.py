@@ -1,34 +1,96 @@
-"""From source files to completion tasks, as one plan."""
+"""From source files to completion tasks, and from tasks and answers to the tasks that are kept, as plans."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codegrain.functions.comments import strip_comments_by
-from codegrain.functions.text import masked
-from codegrain.operators.nodes import classify, exploded, grain, perturbed, sample_nodes, with_nodes
-from codegrain.operators.quality import first_n, passes_gate
+from codegrain.functions.text import code_tokens, masked
+from codegrain.operators.nodes import classify, exploded, grain, perturbed, project_modules, python_imports, sample_nodes, with_nodes
+from codegrain.operators.paths import ratios
+from codegrain.operators.quality import first_n, in_band, passes_gate
+from codegrain.operators.relevance import context
 from codegrain.operators.skeletons import class_skeleton_udf, function_skeleton_udf
+from codegrain.plans.score import scored
+from codegrain.sources.shared import scratch
 
 
-def tasks(files: DataFrame, per_repo: int = 5, attempts: int = 3, seed: int = 7) -> DataFrame:
-    """(repo_name, path, language, code) as tasks, at most per_repo of each repository and grain.
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    Every file gets `attempts` draws of a node for each grain it has; the node or a part of it is masked, the middle
-    loses its comments and must pass the gate of its grain; class and function tasks get a skeleton and go without one.
+
+def drawn_nodes(files: DataFrame, attempts: int = 3, seed: int = 7, levels: tuple[str, ...] = (), symbols: DataFrame | None = None) -> DataFrame:
+    """(file, attempt, grain, sub_task, start_byte, end_byte) for files (file, language, code): every file gets `attempts`
+    draws of a node for each grain it has, of the levels named if any; the node or a part of it is what will be masked.
+
+    Files are parsed once and their nodes stored; all attempts are drawn in one pass over them.
     """
-    keyed = files.withColumn("file", F.concat_ws("/", "repo_name", "path"))
-    nodes = classify(exploded(with_nodes(keyed)))
+    nodes = classify(exploded(with_nodes(files.select("file", "language", "code")).drop("code")), symbols)
     of, label = grain(F.col("category"), F.col("tag"))
-    nodes = nodes.withColumns({"grain": of, "sub_task": label}).where("grain is not null")
-    slim = nodes.select("file", "grain", "sub_task", "id", "start_byte", "end_byte")
-    drawn = None
-    for attempt in range(attempts):
-        one = perturbed(sample_nodes(slim, ["file", "grain"], seed + attempt), slim, "file", seed=seed + attempt).withColumn("attempt", F.lit(attempt))
-        drawn = one if drawn is None else drawn.unionByName(one)
-    cut = drawn.join(keyed, "file").withColumn("mask", masked(F.col("code"), F.col("start_byte"), F.col("end_byte"))).select("*", "mask.*")
+    slim = _stored(nodes.withColumns({"grain": of, "sub_task": label}).where("grain is not null").select("file", "grain", "sub_task", "id", "start_byte", "end_byte"))
+    wanted = [g for level in levels for g, share in ratios(level).items() if share]
+    some = slim.where(F.col("grain").isin(wanted)) if levels else slim
+    tried = some.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    return perturbed(sample_nodes(tried, ["file", "grain", "attempt"], seed), slim, "file", seed=seed, also=("grain", "attempt")).drop("id")
+
+
+def tasks(files: DataFrame, per_repo: int | None = 5, attempts: int = 3, seed: int = 7, levels: tuple[str, ...] = (), symbols: DataFrame | None = None) -> DataFrame:
+    """(repo_name, path, language, code) as tasks (sample_id, repo_name, path, language, grain, sub_task, attempt, prefix,
+    middle, suffix, skeleton), at most per_repo of each repository and grain (None: all).
+
+    The middle loses its comments and must pass the gate of its grain; class and function tasks get a skeleton and go
+    without one; of equal middles of a repository and grain the first attempt of the first file stays. repo_name and path
+    name a file; a null code has no nodes. prefix, the masked bytes and suffix are the file.
+    """
+    keyed = files.withColumn("file", F.concat_ws("/", "repo_name", "path"))
+    cut = drawn_nodes(keyed, attempts, seed, levels, symbols).join(keyed, "file").withColumn("mask", masked(F.col("code"), F.col("start_byte"), F.col("end_byte"))).select("*", "mask.*")
     clean = cut.withColumn("middle", strip_comments_by(F.col("middle"), F.col("language"))).where(passes_gate(F.col("middle"), F.col("grain")))
     skeleton = F.when(F.col("grain") == "class", class_skeleton_udf()("middle", "language")).when(F.col("grain") == "function", function_skeleton_udf()("middle", "language"))
     shown = clean.withColumn("skeleton", skeleton).where("grain in ('block', 'line') or skeleton is not null")
-    return first_n(shown.dropDuplicates(["repo_name", "grain", "middle"]), ["repo_name", "grain"], ["attempt", "file"], per_repo).select("repo_name", "path", "language", "grain", "sub_task", "prefix", "middle", "suffix", "skeleton")
+    first = F.row_number().over(Window.partitionBy("repo_name", "grain", F.md5(F.col("middle").cast("binary"))).orderBy("attempt", "file"))
+    once = shown.withColumn("_first", first).where("_first = 1")
+    kept = once if per_repo is None else first_n(once, ["repo_name", "grain"], ["attempt", "file"], per_repo)
+    return kept.select(F.concat_ws(":", "file", "grain", "attempt").alias("sample_id"), "repo_name", "path", "language", "grain", "sub_task", "attempt", "prefix", "middle", "suffix", "skeleton")
+
+
+def task_context(made: DataFrame, files: DataFrame, installed: tuple[str, ...] = ()) -> DataFrame:
+    """(sample_id, path, relevance, rank): for each task the other files of its repository, the most relevant first: hits of
+    the modules that the task's file imports and that are not installed, plus its share of BM25 over code tokens."""
+    whole = F.concat("prefix", "middle", "suffix")
+    queries = made.select("sample_id", F.col("repo_name").alias("repo"), "path", code_tokens(whole).alias("tokens"), project_modules(python_imports()(whole), installed).alias("modules"))
+    return context(queries, files.select(F.col("repo_name").alias("repo"), "path", code_tokens(F.col("code")).alias("tokens")), F.col("modules"))
+
+
+def kept_tasks(made: DataFrame, answers: DataFrame, per_repo: int | None = 5, low: float = 10, high: float = 50, raw_models: tuple[str, ...] = ()) -> DataFrame:
+    """Tasks that a model neither fails outright nor solves, at most per_repo of each repository and grain, with model,
+    answer, similarity and the cleaned texts that were compared.
+
+    answers: (sample_id, model, try, answer). Of the tries of a model at a task the first that gave an answer counts, so
+    retries are rows and not calls in a loop. Tasks without an answer, and answers without code, go.
+    """
+    tried = answers.where("length(answer) > 0").groupBy("sample_id", "model").agg(F.min_by("answer", "try").alias("answer"))
+    asked = made.join(tried, "sample_id").withColumns({"fill_type": F.col("grain"), "true_code": F.col("middle")})
+    good = scored(asked, raw_models).where(in_band(F.col("similarity"), low, high)).drop("fill_type", "true_code")
+    return good if per_repo is None else first_n(good, ["repo_name", "grain"], ["attempt", "path", "model"], per_repo).drop("rank")
+
+
+def records(kept: DataFrame, contexts: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """Kept tasks as records that sources.jsonl writes and reads; contexts: (sample_id, context_code)."""
+    stamp = F.date_format(F.current_timestamp() if now is None else now, "yyyy-MM-dd HH:mm:ss")
+    none = F.lit(None).cast("string")
+    rows = kept if contexts is None else kept.join(contexts, "sample_id", "left")
+    pairs = F.transform("context_code", lambda c: F.array(c["path"], c["code"])) if contexts is not None else F.lit(None).cast("array<array<string>>")
+    of = lambda name: F.when(F.col("grain") == name, F.col("skeleton"))
+    struct = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+    return rows.select(
+        "repo_name",
+        F.col("path").alias("file_name"),
+        struct(prefix_code=F.col("prefix"), suffix_code=F.col("suffix"), middle_code=F.col("middle"), code_description=none, fill_type=F.concat(F.upper("grain"), F.lit("_TYPE")), language_type=F.col("language"), sub_task_type=F.col("sub_task")).alias("inference_info"),
+        pairs.alias("context_code"),
+        struct(created_time=stamp, created_task_model=F.col("model"), class_skeleton=of("class"), function_skeleton=of("function"), code_description=none).alias("task_instance_info"),
+        struct(inference_model=F.col("model"), inference_result=F.col("answer"), inference_time=stamp).alias("inference_content"),
+        struct(edit_distance=F.col("similarity"), calculate_time=stamp, true_code_clean=F.col("true_clean"), predict_code_clean=F.col("predicted_clean")).alias("editdistance_info"),
+    )

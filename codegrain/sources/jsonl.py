@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.operators.paths import EXTENSIONS, is_source
+from codegrain.operators.quality import good_code
 
 #: One task record. context_code is an array of [path, code] pairs on disk.
 RECORD = """repo_name string, file_name string,
@@ -32,7 +33,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str = RECORD,
 
 def malformed(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
     """The lines that read_jsonl() drops."""
-    return spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache().where("_bad is not null").select("_bad")
+    lines = spark.read.text(path, pathGlobFilter="*.jsonl" if not path.endswith((".jsonl", ".json")) else "*").where(F.trim("value") != "")
+    told = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return told.where("r._bad is not null").select(F.col("value").alias("_bad"))
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -54,6 +57,11 @@ def context_pairs(pairs: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(p[0].alias("path"), p[1].alias("code")))
 
 
+def is_repo(name: Column) -> Column:
+    """Folders named build or beginning with a dot are no repositories."""
+    return ~F.startswith(name, F.lit(".")) & (name != "build")
+
+
 def read_sources(spark: SparkSession, root: str, language: str) -> DataFrame:
     """(repo_name, path, language, code) of the files below root/REPO/ that are sources of the language.
 
@@ -64,7 +72,17 @@ def read_sources(spark: SparkSession, root: str, language: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     inside = F.regexp_extract("path", r"\Q" + root.rstrip("/").split(":")[-1] + r"\E/(.*)$", 1)
     named = files.select(F.substring_index(inside, "/", 1).alias("repo_name"), F.regexp_extract(inside, r"^[^/]+/(.*)$", 1).alias("path"), F.lit(language).alias("language"), F.try_validate_utf8(F.col("content").cast("string")).alias("code"))
-    return named.where((F.col("repo_name") != "build") & ~F.startswith("repo_name", F.lit(".")) & is_source(F.col("path"), language) & F.col("code").isNotNull())
+    return named.where(is_repo(F.col("repo_name")) & is_source(F.col("path"), language) & F.col("code").isNotNull())
+
+
+def read_good(spark: SparkSession, path: str | list[str], schema: str, column: str = "text", **options) -> DataFrame:
+    """What read_jsonl() reads, without the rows whose code is not plausible."""
+    return read_jsonl(spark, path, schema, **options).where(good_code(F.col(column)))
+
+
+def write_scored(df: DataFrame, path: str) -> None:
+    """Scored records, a folder for each language and model; both stay in the records, too."""
+    df.withColumns({"language": F.col("inference_info.language_type"), "model": F.col("inference_content.inference_model")}).write.mode("overwrite").partitionBy("language", "model").json(path)
 
 
 def read_scored(spark: SparkSession, scored: str, baseline: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codegrain.functions import comments, similarity, text
 from codegrain.operators import nodes, quality, relevance, skeletons
-from codegrain.plans import prompt, score
+from codegrain.plans import metrics, prompt, score
 
 
 def one(spark, column, **values):
@@ -16,12 +16,12 @@ def one(spark, column, **values):
     return row.select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("language", sorted(comments.FORMS))
+@pytest.mark.parametrize("language", sorted(comments.OF_LANGUAGE))
 @pytest.mark.parametrize("code", ["a # b\n# c\n#! d\n  # e\nx", "x // y\r\nz /* a\nb */ w", 'p\n"""d\nd"""\nq', "u -- v\n--[[ w\nx ]] y", "a\u2028# b\u00a0c\n\u00a0\u00a0# d", "=begin\nx\n=end\n<!-- y\n-->z", "/// a\n//! b\nhttp://c"])
 def test_comments_as_python_would(spark, language, code):
     want = code
-    for i in comments.FORMS[language]:
-        want = re.sub(comments.PATTERNS[i], "", want, flags=re.M | re.S)
+    for name in comments.OF_LANGUAGE[language]:
+        want = re.sub(comments.FORMS[name], "", want, flags=re.M | re.S)
     assert one(spark, comments.strip_comments(F.col("c"), language, blank_lines=False), c=code) == want
 
 
@@ -78,18 +78,22 @@ def test_bm25(spark):
     import math
 
     docs, query = [["a", "b"], ["c"], ["a", "a", "d", "e"]], ["a", "a", "c"]
-    corpus = spark.createDataFrame([("s", i + 1, d) for i, d in enumerate(docs)], "sample_id string, doc_idx long, tokens array<string>")
-    got = {r["doc_idx"]: r["bm25"] for r in relevance.bm25(corpus, spark.createDataFrame([("s", query)], "sample_id string, tokens array<string>")).collect()}
-    every = [query, *docs]
-    mean = sum(map(len, every)) / 4
-    for i, d in enumerate(docs, 1):
-        want = sum(math.log((4 - df + 0.5) / (df + 0.5) + 1) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for t in query if (df := sum(t in x for x in every)))
-        assert got[i] == pytest.approx(want)
+    corpus = spark.createDataFrame([("r", i, d) for i, d in enumerate(docs)] + [("other", 0, ["a"])], "repo string, path long, tokens array<string>")
+    asked = spark.createDataFrame([("s", "r", None, query), ("t", "r", 2, query), ("u", "none", None, query), ("v", "r", None, [])], "sample_id string, repo string, path long, tokens array<string>")
+    got = {(r["sample_id"], r["path"]): r["bm25"] for r in relevance.bm25(corpus, asked).collect()}
+    assert set(got) == {(s, i) for s, own in (("s", None), ("t", 2), ("v", None)) for i in range(3) if i != own}
+    for s, own, words in (("s", None, query), ("t", 2, query), ("v", None, [])):
+        every = [words, *(d for i, d in enumerate(docs) if i != own)]
+        n, mean = len(every), sum(map(len, every)) / len(every)
+        for i, d in enumerate(docs):
+            if i != own:
+                want = sum(math.log((n - df + 0.5) / (df + 0.5) + 1) * d.count(t) * 2.5 / (d.count(t) + 1.5 * (0.25 + 0.75 * len(d) / mean)) for t in words if (df := sum(t in x for x in every)))
+                assert got[s, i] == pytest.approx(want)
 
 
 def test_rank_ties_and_nan(spark):
-    rows = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 2.0), ("a", 3, 5.0), ("b", 1, 0.0), ("b", 2, 0.0)], "sample_id string, doc_idx long, bm25 double")
-    got = [(r["sample_id"], r["doc_idx"]) for r in relevance.ranked(rows).orderBy("sample_id", "rank").collect()]
+    rows = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 2.0), ("a", 3, 5.0), ("b", 1, 0.0), ("b", 2, 0.0)], "sample_id string, path long, bm25 double")
+    got = [(r["sample_id"], r["path"]) for r in relevance.ranked(rows).orderBy("sample_id", "rank").collect()]
     assert got == [("a", 3), ("a", 2), ("a", 1), ("b", 2), ("b", 1)]
 
 
@@ -108,6 +112,14 @@ def test_failed_row_carries_its_error(spark):
     assert [tuple(r) for r in prompt.infer(tasks, client).collect()] == [("1", "m", "", "TimeoutError: late")]
 
 
+def test_counts_of_a_run(spark):
+    rows = spark.createDataFrame([("a", None), ("", None), (None, "E: x"), ("", "E: y")], "answer string, error string").repartition(2)
+    kept, seen = metrics.counted(rows)
+    assert kept.count() == 4 and seen.get == {"n": 4, "failed": 2, "empty": 1}
+    assert metrics.within_budget(rows, 2) and not metrics.within_budget(rows, 1)
+    assert sum(r["n"] for r in metrics.by_worker(rows).collect()) == 4
+
+
 def test_parsers_never_fail():
     assert nodes.parse(None, "html") == [] and nodes.parse("def (", "python") == []
     found = nodes.parse("<div>é<b>x</b><br/></div>", "html")

@@ -1,4 +1,4 @@
-"""Queries that do the whole job where SQL does a part of it, against plain versions."""
+"""Queries on texts of any script and length against plain versions."""
 
 import re
 from collections import Counter
@@ -28,8 +28,38 @@ def test_fuzzy_ratio_of_whole_texts(spark, made):
     assert want[0] == 60
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def percent(a, b):
+    return round((1 - distance(a, b) / max(len(a), len(b))) * 100, 4)
+
+
+def test_edit_similarity_of_whole_turns(spark, tmp_path):
+    turns = ["a b c " * 40 + "é ü, 中文", "a c b " * 37 + "é; ü 文", "", "x" * 500, "x" * 400 + "y" * 100, "\n"]
+    rows = [(c, t, turns[(c * 3 + t) % len(turns)]) for c in range(6) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    said = {(c, t): x for c, t, x in rows}
+    pairs = {(c, t): (said[c, t - 1], x) for (c, t), x in said.items() if t and said[c, t - 1] + x}
+    got = {(r["conv_id"], r["turn"]): r["score"] for r in QUERIES["edit_similarity_char"](spark, str(tmp_path)).collect()}
+    assert got == {k: percent(a, b) for k, (a, b) in pairs.items()}
+    words = lambda x: re.findall(r"\w+|[^\w\s]", x)
+    got = {(r["conv_id"], r["turn"]): r["score"] for r in QUERIES["edit_similarity_token"](spark, str(tmp_path)).collect()}
+    assert got == {k: percent(words(a), words(b)) for k, (a, b) in pairs.items() if words(a) and words(b)}
+    scored = {(r["conv_id"], r["turn"]): r["similarity"] for r in QUERIES["scored_answers"](spark, str(tmp_path)).collect()}
+    given = lambda turn, b: b if turn % 4 == 3 else b.strip()
+    assert scored == {k: percent(words(a), words(b)) for k, (a, b) in pairs.items() if a and given(k[1], b) and words(a) + words(b)}
+
+
 def test_masks_fall_on_character_borders(spark, made):
-    got = {r["doc_id"]: (r["prefix"], r["middle"], r["suffix"]) for r in QUERIES["fim_mask_whole"](spark, made[0]).collect()}
+    got = {r["doc_id"]: (r["prefix"], r["middle"], r["suffix"]) for r in QUERIES["fim_mask"](spark, made[0]).collect()}
     for i, t in enumerate(TEXTS):
         raw = t.encode()
         cuts = []
@@ -43,13 +73,13 @@ def test_masks_fall_on_character_borders(spark, made):
 def test_every_term_is_counted(spark, made):
     words = [re.findall(r"\w+", t.lower()) for t in TEXTS]
     df, tf = Counter(w for ws in words for w in set(ws)), Counter(w for ws in words for w in ws)
-    got = {r["term"]: (r["df"], r["tf"]) for r in QUERIES["document_frequency_whole"](spark, made[0]).collect()}
+    got = {r["term"]: (r["df"], r["tf"]) for r in QUERIES["document_frequency"](spark, made[0]).collect()}
     assert got == {w: (df[w], tf[w]) for w in df}
 
 
 def test_comments_go_from_every_document(spark, made):
-    got = {r["doc_id"]: r["code"] for r in QUERIES["strip_hash_comments_whole"](spark, made[0]).collect()}
+    got = {r["doc_id"]: r["code"] for r in QUERIES["strip_hash_comments"](spark, made[0]).collect()}
     for i, t in enumerate(TEXTS):
-        for f in comments.FORMS["r"]:
-            t = re.sub(comments.PATTERNS[f], "", t, flags=re.M | re.S)
+        for name in comments.OF_LANGUAGE["r"]:
+            t = re.sub(comments.FORMS[name], "", t, flags=re.M | re.S)
         assert got[i] == t
