@@ -277,8 +277,8 @@ df AS (SELECT sid, term, count(*) + 1 AS df FROM found GROUP BY ALL),
 scored AS (SELECT sid, found.path, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(f.t) / mean))) AS s
   FROM found JOIN df USING (sid, term) JOIN corpora USING (sid) JOIN f ON f.path = found.path GROUP BY ALL),
 every AS (SELECT q.sid, f.path, coalesce(s, 0.0::DOUBLE) AS s FROM q JOIN f ON f.repo = q.repo AND f.path IS DISTINCT FROM q.mine LEFT JOIN scored ON scored.sid = q.sid AND scored.path = f.path)"""
-RANK_SQL = """, rel AS (SELECT sid, path, round(s, 9) / nullif(sum(round(s, 9)) OVER (PARTITION BY sid), 0) AS r FROM every)
-SELECT sid AS sample_id, path AS doc_id, round(r, 6) AS relevance, row_number() OVER (PARTITION BY sid ORDER BY round(r, 9) DESC NULLS FIRST, path DESC) AS rank FROM rel"""
+RANK_SQL = """, rel AS (SELECT sid, path, round(s, 9) AS s, round(s, 9) / nullif(sum(round(s, 9)) OVER (PARTITION BY sid), 0) AS r FROM every)
+SELECT sid AS sample_id, path AS doc_id, round(r, 6) AS relevance, row_number() OVER (PARTITION BY sid ORDER BY r IS NULL DESC, s DESC, path DESC) AS rank FROM rel"""
 ITEMS_SQL = r"""WITH q AS (SELECT item_id AS sid, 0 AS repo, NULL::BIGINT AS mine, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t FROM benchmark WHERE item_id % 20 = 0),
 f AS (SELECT 0 AS repo, doc_id AS path, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS t FROM documents)"""
 
