@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,10 +49,21 @@ class Stored:
         self.paths[id(out)] = (out, path)
         return out
 
+    def held(self, df: DataFrame) -> DataFrame:
+        """df kept on the executors' disks, for what a few steps use and then drop: no files are made, lineage stays, and what
+        a lost executor held is computed again from the stored tables before it."""
+        out = df.persist(StorageLevel.DISK_ONLY)
+        self.paths[id(out)] = (out, None)
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             if id(df) in self.paths:
-                discard(self.spark, self.paths.pop(id(df))[1])
+                out, path = self.paths.pop(id(df))
+                if path is None:
+                    out.unpersist()
+                else:
+                    discard(self.spark, path)
 
 
 def stored(df: DataFrame) -> DataFrame:

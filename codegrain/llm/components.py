@@ -74,19 +74,22 @@ def label_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(alone.unionByName(joined))
 
 
-def first_of_groups(docs: DataFrame, nodes: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The documents, one of each group: its first row by doc_id, nulls last, and then by a hash of the whole row.
+def first_of_groups(docs: DataFrame, prints: DataFrame, nodes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The documents, one of each group: its first row by doc_id, nulls last, and then by a hash of the whole row. prints has
+    (doc_id, row) of every row.
 
     All columns are as they were. Rows that are equal in every column are one document, of which one stays.
     """
     key, row = fresh(docs, "kept_key", "kept_row")
-    stay = nodes.join(labelled.where("first").select("id"), "id", "left_semi").select(F.col("doc_id").alias(key), F.col("row").alias(row))
+    named = (F.col("doc_id").alias(key), F.col("row").alias(row))
+    stay = nodes.join(labelled.where("first").select("id"), "id", "left_semi").select(*named)
     marked = docs.withColumns({key: F.col("doc_id").cast("long"), row: row_hash(docs)})
-    kept = marked.join(stay, marked[key].eqNullSafe(stay[key]) & (marked[row] == stay[row]), "left_semi")
-    again = stored(kept.groupBy(key, row).count().where("count > 1").select(key, row))
+    same = lambda left, right: left[key].eqNullSafe(right[key]) & (left[row] == right[row])
+    kept = marked.join(stay, same(marked, stay), "left_semi")
+    repeated = prints.groupBy("doc_id", "row").count().where("count > 1").select(*named)
+    again = stored(repeated.join(stay, same(repeated, stay), "left_semi"))
     if again.isEmpty():
         return kept.drop(key, row)
-    same = kept[key].eqNullSafe(again[key]) & (kept[row] == again[row])
     # map columns cannot be compared, so rows are told apart by key and row; equal ones are combined before the shuffle
-    once = kept.join(again, same, "left_semi").dropDuplicates([key, row])
-    return kept.join(again, same, "left_anti").unionByName(once).drop(key, row)
+    once = kept.join(again, same(kept, again), "left_semi").dropDuplicates([key, row])
+    return kept.join(again, same(kept, again), "left_anti").unionByName(once).drop(key, row)

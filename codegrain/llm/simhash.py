@@ -202,5 +202,5 @@ def keep_one(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     """The documents, one row of each group of near-duplicates, all columns as they were: the row with the smallest
     doc_id, nulls last, and of rows that share it the one with the smallest hash. Groups are made of rows, not of ids:
     rows without a doc_id or with the same one go only if their texts are linked. No rows, no result."""
-    _, nodes, labelled = _labelled(docs, shingle, most)
-    return first_of_groups(docs, nodes, labelled)
+    prints, nodes, labelled = _labelled(docs, shingle, most)
+    return first_of_groups(docs, prints, nodes, labelled)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import operator
 import os
 import re
 from array import array
@@ -32,26 +33,33 @@ class _Odd(Exception):
 
 
 class _Memo(dict):
-    """Answers by key, made when first asked for. When it is full the answers become the former ones, of which those
-    still asked for come back; so at most twice the limit is held, and words that recur stay."""
+    """Answers by key, made when first asked for and kept when asked for again: most words of a corpus never come back, and a
+    bit by hash tells which may have. When it is full the answers become the former ones, of which those still asked for
+    return; so at most twice the limit is held, and words that recur stay."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.former = make, limit, {}
+        self.make, self.limit, self.former, self.seen = make, limit, {}, bytearray(1 << 22)
 
     def __missing__(self, key: str) -> bytes:
-        value = self.former.get(key)
+        value = self.former.get(key) if self.former else None
         if value is None:
             value = self.make(key)
-            if len(key) > 24 or "\n" in key:  # hardly ever asked for again
+            place = hash(key) & 4194303
+            if not self.seen[place] or len(key) > 24:
+                self.seen[place] = 1
                 return value
         if len(self) >= self.limit:
             self.former = dict(self)
             self.clear()
+            self.seen = bytearray(1 << 22)
         self[key] = value
         return value
 
 
+_id = operator.attrgetter("id")
+
+
 class Encoder:
     """Encodes like Tokenizer.encode(text, add_special_tokens=False): control strings of the vocabulary in a text become
     their ids. With literal they are ordinary text, as they should be where nobody may forge them.
@@ -87,16 +95,17 @@ class Encoder:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _ids(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
+        return array("I", map(_id, self._model.tokenize(piece))).tobytes()
 
     def _merged(self, piece: str) -> bytes:
         return self._ids(piece.replace(" ", self._space) if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self._letters))
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha() and self._word(chunk):
+        if chunk.isalpha() and len(chunk) <= 64:
             if chunk.isascii():
                 return self._ids(self._space + chunk if self._joined else chunk.lower())
-            return self._merged(" " + chunk if self._joined else chunk.lower())
+            if self._word(chunk):
+                return self._merged(" " + chunk if self._joined else chunk.lower())
         if not chunk and not self._joined:
             return b""
         body, sign = chunk[:-1], chunk[-1:]

@@ -5,14 +5,16 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codegrain.llm.common import stored, table
 from codegrain.llm.queries import ORACLES, QUERIES, tokenizer_path
 from codegrain.llm.tokens import encoder
 from tests.llm.test_mixing import reshared
-from tests.llm.test_near_duplicates import classes, plain_print
+from tests.llm.test_near_duplicates import classes
 from tests.llm.test_rules_and_chat import measures
+from tests.llm.test_shingle_sets import plain_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +30,7 @@ def stages(spark):
 
 def good(text):
     n, chars, symbols, lines, repeats = measures(text)
-    return not (n < 50 or 100 * repeats > 50 * n or 10 * symbols > n or chars < 2 * n or chars > 14 * n or 4 * lines > n)
+    return not (n < 1 or 100 * repeats > 50 * n or 10 * symbols > n or chars < 2 * n or chars > 14 * n or 4 * lines > n)
 
 
 def test_stages_decide_as_plain_versions(spark, stages):
@@ -39,8 +41,8 @@ def test_stages_decide_as_plain_versions(spark, stages):
     assert kept == {r["doc_id"] for r in rows if any(ch.isalpha() for ch in r["text"] or "")}
     rows = [r for r in rows if r["doc_id"] in kept and good(r["text"])]
     assert {r["doc_id"] for r in stages[1].collect()} == {r["doc_id"] for r in rows}
-    prints = {r["doc_id"]: plain_print(r["text"]) for r in rows}
-    first = classes(prints, [(a, b) for a, b in combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    held = {r["doc_id"]: plain_set(r["text"]) for r in rows}
+    first = classes(held, [(a, b) for a, b in combinations(sorted(held), 2) if 9 * len(held[a] & held[b]) >= 4 * (len(held[a]) + len(held[b]))])
     rows = [r for r in rows if first[r["doc_id"]] == r["doc_id"]]
     assert sorted(r["doc_id"] for r in stages[2].collect()) == sorted(r["doc_id"] for r in rows)
     sizes = Counter()
@@ -68,6 +70,26 @@ def test_run_is_the_stages_in_a_row(spark, stages):
     assert got.columns == stages[-1].columns and got.count() == stages[-1].count()
 
 
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    odd = [(None, None, None, None), (None, "", "en", "a"), (5, "1234 !!", None, "a"), (6, "word " * 30_000, "en", None), (7, "x" * 200_000, None, "b"), (7, "a short clean text of some words", "en", "b"), (7, "a short clean text of some words", "en", "b"), (None, "another short clean text of words", "en", None)]
+    more = spark.createDataFrame([(*r, None, "n", 1, 0.5) for r in odd], "doc_id long, text string, lang string, source string, n_chars long, node string, words int, target double")
+    few = docs.limit(60).withColumns({"node": F.lit("x"), "words": F.lit(2), "target": F.lit(0.1)})
+    few.unionByName(more).write.parquet(f"{tmp_path}/some/documents.parquet")
+    few.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    docs = table(spark, f"{tmp_path}/some", "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        done = stored(stage(spark, docs, f"{tmp_path}/some"))
+        assert done.columns == docs.columns
+        assert {r["doc_id"] for r in done.collect()} <= {r["doc_id"] for r in docs.collect()}
+        docs = done
+    texts = [r["text"] for r in docs.where("doc_id = 7 or doc_id is null").collect()]
+    assert all(t and any(c.isalpha() for c in t) for t in texts)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert len({(r["doc_id"], r["sequence_id"], r["offset"]) for r in packed}) == len(packed) >= docs.count()
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)

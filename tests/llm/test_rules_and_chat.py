@@ -77,6 +77,23 @@ def test_conversations_read_back(spark):
     assert chat.format_conversations(rows.limit(0)).count() == 0
 
 
+def test_estimate_tells_shares_and_costs(spark):
+    texts = ["", None, "word " * 60, "plain words of a text " * 20, "# " * 80 + "some words", "one two three four five six " * 3, *(" ".join(f"w{i}x{j}" for j in range(80)) for i in range(14))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {name: (share, cost) for name, share, cost in quality_rules.estimate(docs, sample_rows=1_000)}
+    told = [measures(t) for t in texts]
+    assert found["too_short"][0] == sum(n < 50 for n, *_ in told) / len(texts)
+    assert found["repeats"][0] == sum(100 * rep > 50 * n for n, _, _, _, rep in told) / len(texts)
+    assert found["symbols"][0] == sum(10 * sym > n for n, _, sym, _, _ in told) / len(texts)
+    assert all(0 <= cost < 1 for _, cost in found.values())
+    assert [s for _, s, _ in quality_rules.estimate(docs.limit(0))] == [0.0] * len(quality_rules.RULES)
+    worth = [("a", 0.5, 1.0), ("b", 0.1, 0.01), ("c", 0.0, 0.5), ("d", 0.0, 0.1)]
+    rules = tuple(quality_rules.Rule(n, lambda m: m("n_words") < 0) for n, _, _ in worth)
+    assert [r.name for r in quality_rules.order(rules, worth)] == ["b", "a", "d", "c"]
+    kept = quality_rules.keep_good(docs, quality_rules.SHORT_TOO)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(6, 20))
+
+
 def test_branches_of_a_tree(spark):
     #      1 - 2 - 4 - 5     tree t; 9's parent is not there, so it is a root of its own
     #        \ 3     \ 6
