@@ -100,7 +100,7 @@ def test_features_and_network_are_those_of_a_plain_pass():
     mean = sum(taken) / len(taken)
     spread = np.sqrt(sum((v - mean) ** 2 for v in taken) / len(taken))
     assert np.allclose(quality_classifier.pooled(ids, vectors), [*mean, *spread], atol=1e-4)
-    x = rng.normal(size=(400, 6))
+    x = rng.normal(size=(4000, 6))
     y = (x[:, 0] - x[:, 1] ** 2 > -0.5).astype(float)
     net = quality_classifier.fit(x, y)
     w1, b1, w2, b2 = net.layers
@@ -113,7 +113,7 @@ def test_features_and_network_are_those_of_a_plain_pass():
     truth = fresh_x[:, 0] - fresh_x[:, 1] ** 2 > -0.5
     assert ((net.probability(fresh_x) > 0.5) == truth).mean() > 0.9
     # calibrated: no other temperature of the grid does better on the fifth held back
-    held = np.random.default_rng(3).permutation(400)[:80]
+    held = np.random.default_rng(3).permutation(4000)[:800]
     raw = net.logits(x[held])
     loss = [np.logaddexp(0, -np.where(y[held] > 0.5, raw, -raw) / t).mean() for t in np.geomspace(0.25, 8, 61)]
     assert net.temperature == np.geomspace(0.25, 8, 61)[int(np.argmin(loss))]
