@@ -41,6 +41,15 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder of scratch(); the folder above the target is made."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = place(source).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place(target).getParent())
+    if not files.rename(place(source), place(target)):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def cleanup(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application; for when its results have been consumed."""
     discard(spark, _home(spark))
