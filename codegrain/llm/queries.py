@@ -85,6 +85,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op12_window_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codegrain.llm.panes import revised
+
+    return revised(table(spark, sf_dir, "clicks"))
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -96,6 +102,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
+    "op12_window_panes": op12_window_panes,
 }
 
 ORACLES: dict[str, str] = {
