@@ -189,6 +189,7 @@ def _session(spark: SparkSession) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # each start needs its stores once
     }.items():
         own.conf.set(key, value)
     return own
