@@ -85,6 +85,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from codegrain.llm.byte_bpe import digest
+
+    return digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op12_window_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codegrain.llm.panes import revised
 
@@ -102,6 +110,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
+    "op11_byte_bpe": op11_byte_bpe,
     "op12_window_panes": op12_window_panes,
 }
 
