@@ -99,6 +99,13 @@ def op12_window_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revised(table(spark, sf_dir, "clicks"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codegrain.llm.hard_negatives import mined
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mined(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label")), "vec_id % 50 = 0")
+
+
 QUERIES = {
     "op1_token_planes": op1_token_planes,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -112,6 +119,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_byte_bpe": op11_byte_bpe,
     "op12_window_panes": op12_window_panes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
