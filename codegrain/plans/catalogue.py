@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.functions import comments, similarity, text
-from codegrain.operators import nodes, paths, quality, ranking, registry, relevance
+from codegrain.operators import nodes, paths, quality, ranking, registry, relevance, topup
 from codegrain.plans import prompt, score
 from codegrain.sources import jsonl
 
@@ -423,6 +423,42 @@ def retry_first_success(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(F.when(F.col("value") > 50, F.col("event_id"))).alias("first_success"), F.bool_or(F.col("event_type") == "error").alias("any_error"))
 
 
+#: Attempt a of a site points at one of its pages and at a place in it; what stands there must hold three tags or more.
+_WANTED, _MOST = 3, 9
+_POINTS = "('0x' || substr(md5(site || ':' || a || ':' || '{}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _site_draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, sf_dir, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("site"), "page_id", "html")
+    placed = topup.numbered(pages.select("site", "page_id"), ["site"], ["page_id"])
+    html = pages.select("page_id", "html")
+
+    def draw(asked: DataFrame) -> DataFrame:
+        u = lambda name: text.uniform(F.col("site"), F.col("attempt"), F.lit(name))
+        middle = F.substr("html", F.floor(u("at") * F.length("html")).cast("int") + 1, F.lit(200))
+        cut = topup.picked(asked, placed, ["site"], u("page")).join(html, "page_id").withColumn("middle", middle)
+        return cut.where(F.regexp_count("middle", F.lit("<[a-z]")) >= 3).select("site", "attempt", "page_id", F.md5(F.col("middle").cast("binary")).alias("middle"))
+
+    return topup.top_up(pages.select("site").distinct(), draw, _WANTED, _MOST)
+
+
+@query(f"""WITH p AS (SELECT split_part(url, '/', 3) AS site, page_id, html, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS place, count(*) OVER (PARTITION BY split_part(url, '/', 3)) AS size FROM pages),
+t AS (SELECT DISTINCT site, size, a FROM p, range({_MOST}) AS r(a)),
+d AS (SELECT t.site, t.a, p.page_id, substr(html, CAST(floor({_POINTS.format("at").replace("site", "t.site")} * length(html)) AS BIGINT) + 1, 200) AS middle
+  FROM t JOIN p ON p.site = t.site AND p.place = CAST(floor({_POINTS.format("page").replace("site", "t.site")} * t.size) AS BIGINT) + 1)
+SELECT site, CAST(a AS INT) AS attempt, page_id, md5(middle) AS middle, CAST(row_number() OVER (PARTITION BY site ORDER BY a) AS INT) AS rank FROM d
+WHERE len(regexp_extract_all(middle, '<[a-z]')) >= 3 QUALIFY row_number() OVER (PARTITION BY site ORDER BY a) <= {_WANTED}""")
+def top_up_samples(spark, sf_dir):
+    """The first samples of each site that pass, drawn in rounds."""
+    return _site_draws(spark, sf_dir)[0]
+
+
+@query()
+def top_up_report(spark, sf_dir):
+    """For each site how many attempts were drawn, in how many rounds, of the fixed plan's."""
+    return _site_draws(spark, sf_dir)[1].withColumn("fixed", F.lit(_MOST))
+
+
 _U = "('0x' || substr(md5(doc_id || ':' || {}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 

@@ -204,3 +204,20 @@ def test_closest_vectors_are_those_of_all_pairs(spark):
         c = [(-round(float((d[q] * d[v]).sum() / (size[q] * size[v])), 9), v) for v in range(300) if v != q]
         assert sorted(got.pop(q)) == sorted(c)[:5]
     assert not got
+
+
+def test_tasks_are_topped_up(spark, files):
+    """The same tasks whether attempts come in rounds or all at once, and whole files around each middle."""
+    weights = {"function": 3.0, "line": 1.0}
+    some, report = construct.topped_up_tasks(files, per_repo=2, factor=6, weights=weights)
+    every, _ = construct.topped_up_tasks(files, per_repo=12, factor=1, weights=weights)
+    rows, all_rows = some.collect(), sorted(every.collect(), key=lambda r: r["attempt"])
+    want = {r["sample_id"] for repo in ("r0", "r1") for r in [x for x in all_rows if x["repo_name"] == repo][:2]}
+    assert {r["sample_id"] for r in rows} == want and len(want) == len(rows)
+    assert {r["grain"] for r in rows} <= set(weights)
+    code = {(r["repo_name"], r["path"]): r["code"] for r in files.collect()}
+    for r in rows:
+        whole = code[r["repo_name"], r["path"]]
+        assert whole.startswith(r["prefix"]) and whole.endswith(r["suffix"])
+    drawn = {r["repo_name"]: (r["kept"], r["drawn"]) for r in report.collect()}
+    assert set(drawn) == {"r0", "r1"} and all(k == 2 and d <= 12 for k, d in drawn.values()) and sum(d for _, d in drawn.values()) < 24
