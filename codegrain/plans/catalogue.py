@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.functions import comments, similarity, text
-from codegrain.operators import nodes, paths, quality, ranking, registry, relevance, topup
+from codegrain.operators import nodes, paths, quality, ranking, registry, relevance, retrieval, topup
 from codegrain.plans import prompt, score
 from codegrain.sources import jsonl
 
@@ -314,6 +314,60 @@ def context_rank(spark, sf_dir):
     return _ranks(relevance.ranked(relevance.bm25(files, asked).withColumn("bm25", F.round("bm25", 9))))
 
 
+def _asked_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    of = lambda name, key, alias: table(spark, sf_dir, name).select(F.lit(0).alias("repo"), F.col(key).alias(alias), text.words(F.col("text")).alias("tokens"))
+    return of("documents", "doc_id", "path"), of("benchmark", "item_id", "sample_id").where("sample_id % 20 = 0").withColumn("path", F.lit(None).cast("long"))
+
+
+@query(ITEMS_SQL + BM25_SQL + """ SELECT sid AS sample_id, path AS doc_id, round(s, 6) AS bm25, row_number() OVER (PARTITION BY sid ORDER BY round(s, 9) DESC, path DESC) AS rank FROM scored
+QUALIFY row_number() OVER (PARTITION BY sid ORDER BY round(s, 9) DESC, path DESC) <= 10""")
+def bm25_top(spark, sf_dir):
+    """The ten best documents for every 20th item, by an index with bounds."""
+    files, asked = _asked_items(spark, sf_dir)
+    ranks, _ = retrieval.top_k(retrieval.index(files), asked, 10)
+    return ranks.select("sample_id", F.col("path").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
+
+
+@query()
+def bm25_top_cost(spark, sf_dir):
+    """How many postings were scored for each of these items, of all that its terms have."""
+    files, asked = _asked_items(spark, sf_dir)
+    return retrieval.top_k(retrieval.index(files), asked, 10)[1]
+
+
+def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the files of their site: named by three of their links, with the links as what they import."""
+    names = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("repo"), names.alias("modules"), text.words(F.col("html")).alias("tokens"))
+    return pages.withColumn("path", F.concat(F.col("page_id").cast("string"), F.lit("/"), F.array_join(F.slice("modules", 1, 3), "_"), F.lit(".py")))
+
+
+_FILES_SQL = r"""WITH p AS (SELECT page_id, split_part(url, '/', 3) AS repo, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS modules, regexp_extract_all(html, '[\p{L}\p{N}_]+') AS t FROM pages),
+f AS (SELECT page_id, repo, modules, t, page_id || '/' || array_to_string(modules[1:3], '_') || '.py' AS path FROM p),
+q AS (SELECT page_id AS sid, repo, path AS mine, t, modules FROM f WHERE page_id % 20 = 0),
+m AS (SELECT sid, repo, mine, m.module FROM q, unnest(q.modules) AS m(module))"""
+
+
+@query(_FILES_SQL + """ SELECT sid AS page_id, module, count(DISTINCT path) AS files FROM m JOIN f ON f.repo = m.repo AND contains(path, module || '.py') GROUP BY ALL""")
+def import_hits_by_module(spark, sf_dir):
+    """For every 20th page each of its links and how many files of the site it names."""
+    files = _page_files(spark, sf_dir)
+    asked = files.where("page_id % 20 = 0").withColumnRenamed("page_id", "sample_id")
+    return retrieval.hits_by_module(asked, files).withColumnRenamed("sample_id", "page_id")
+
+
+@query(_FILES_SQL + BM25_SQL + """, hits AS (SELECT m.sid, f.path, count(*) AS hits FROM m JOIN f ON f.repo = m.repo AND f.path <> m.mine AND contains(f.path, module || '.py') GROUP BY ALL),
+both_ AS (SELECT coalesce(s.sid, h.sid) AS sid, coalesce(s.path, h.path) AS path, coalesce(hits, 0) AS hits, coalesce(s.s, 0.0::DOUBLE) AS bm25 FROM scored s FULL JOIN hits h ON h.sid = s.sid AND h.path = s.path)
+SELECT sid AS page_id, path, hits, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY sid ORDER BY hits DESC, round(bm25, 9) DESC, path DESC) AS rank FROM both_
+QUALIFY row_number() OVER (PARTITION BY sid ORDER BY hits DESC, round(bm25, 9) DESC, path DESC) <= 5""")
+def context_best(spark, sf_dir):
+    """For every 20th page the five most relevant other files of its site."""
+    files = _page_files(spark, sf_dir)
+    asked = files.where("page_id % 20 = 0").withColumnRenamed("page_id", "sample_id")
+    best = retrieval.context_top(asked, files.select("repo", "path", "tokens"), 5)
+    return best.select(F.col("sample_id").alias("page_id"), "path", "hits", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("""SELECT page_id, CAST(len(list_filter(['index', 'page', 'a', 'site'], lambda m: contains(url || '/' || (['index', 'page', 'main'])[CAST(page_id % 3 + 1 AS INT)] || '.py', m || '.py'))) AS INT) AS hits FROM pages""")
 def import_dependency_boost(spark, sf_dir):
     path = F.concat("url", F.lit("/"), F.element_at(F.array(*map(F.lit, ("index", "page", "main"))), (F.col("page_id") % 3 + 1).cast("int")), F.lit(".py"))
