@@ -52,6 +52,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class _Steps(dict):
+    """Steps by state and byte, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: int) -> int:
+        step = self[key] = self.make(key >> 8, key & 255)
+        return step
+
+
 class Transducer:
     """Encodes a piece of bytes; see above."""
 
@@ -60,6 +72,7 @@ class Transducer:
             raise ValueError("every byte must be a token")
         self.ranks, self.limit = ranks, states
         self.bytes = {rank: token for token, rank in ranks.items()}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.next: list[dict[int, int]] = [{}]  # the trie: node, byte, node
         self.token = [-1]
         for token, rank in ranks.items():
@@ -74,14 +87,15 @@ class Transducer:
         for at, children in enumerate(self.next):  # children come after their parents
             for child in children.values():
                 self.depth[child] = self.depth[at] + 1
-        self._edges: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
+        self.merges = {left << _BITS | right: rank for token, rank in ranks.items() for i in range(1, len(token)) if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
+        self._edges: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self._pairs: dict[int, bool] = {}
         self._begin()
 
     def _begin(self) -> None:
         self.states: list[tuple[int, ...]] = []
         self._known: dict[tuple[int, ...], int] = {}
-        self.steps: dict[int, int] = {}
+        self.steps = _Steps(self._step)
         self._state((0,))
 
     def _state(self, borders: tuple[int, ...]) -> int:
@@ -103,14 +117,13 @@ class Transducer:
             raise ValueError(f"token {rank} is not merged from two of lower rank")
         return found[0], found[1]
 
-    def _edge(self, token: int, right: bool) -> list[tuple[bytes, int]]:
+    def _edge(self, token: int, right: bool) -> list[tuple[int, int]]:
         """Tokens at an edge of a token's tree, each with the rank at which it is merged on."""
         if (out := self._edges.get((token, right))) is None:
-            part, until = self.bytes[token], _NEVER
-            out = [(part, until)]
+            part, out = self.bytes[token], [(token, _NEVER)]
             while len(part) > 1:
                 until, part = self.ranks[part], self.parts(part)[right]
-                out.append((part, until))
+                out.append((self.ranks[part], until))
             self._edges[token, right] = out
         return out
 
@@ -119,9 +132,13 @@ class Transducer:
         if (out := self._pairs.get(left << _BITS | right)) is None:
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            # of equal ranks the pair further left goes first
-            crossing = ((self.ranks.get(a + b, _NEVER), until_a, until_b) for a, until_a in self._edge(left, True) for b, until_b in self._edge(right, False))
-            out = self._pairs[left << _BITS | right] = not any(rank < until_a and rank <= until_b and rank < _NEVER for rank, until_a, until_b in crossing)
+            out, theirs = True, self._edge(right, False)
+            for a, until_a in self._edge(left, True):
+                for b, until_b in theirs:
+                    # of equal ranks the pair further left goes first
+                    if (rank := self.merges.get(a << _BITS | b)) is not None and rank < until_a and rank <= until_b:
+                        out = False
+            self._pairs[left << _BITS | right] = out
         return out
 
     def _step(self, state: int, byte: int) -> int:
@@ -137,47 +154,45 @@ class Transducer:
             if self.next[child]:
                 moved.append(child << _BITS | border & _TOKEN)
         moved.append(closed + 1)
-        out = self.steps[state << 8 | byte] = self._state(tuple(moved)) << _BITS | closed
-        return out
+        return self._state(tuple(moved)) << _BITS | closed
 
-    def _back(self, closed: list[int], at: int, until: int) -> list[int]:
-        """The tokens from border until to border at."""
-        out = []
-        while at > until:
-            token = closed[at - 1]
+    def _back(self, taken: list[int], at: int) -> list[int]:
+        """The tokens up to border at, by the steps taken."""
+        out, size = [], self.size
+        while at > 0:
+            token = taken[at - 1] & _TOKEN
             out.append(token)
-            at -= len(self.bytes[token])
-        return out[::-1]
+            at -= size[token]
+        out.reverse()
+        return out
 
-    def _certain(self, closed: list[int], state: int) -> int:
+    def _certain(self, taken: list[int], state: int) -> int:
         """The border in which the ways back from all open borders meet."""
-        open_ = {len(closed) - self.depth[b >> _BITS] for b in self.states[state]}
+        open_ = {len(taken) - self.depth[b >> _BITS] for b in self.states[state]}
         while len(open_) > 1:
             last = max(open_)
             open_.remove(last)
-            open_.add(last - len(self.bytes[closed[last - 1]]))
+            open_.add(last - self.size[taken[last - 1] & _TOKEN])
         return open_.pop()
 
     def __call__(self, piece: bytes) -> list[int]:
         out: list[int] = []
-        closed: list[int] = []  # behind each byte since what is certain
-        state, steps = 0, self.steps
+        taken: list[int] = []  # a step for each byte since what is certain
+        state, steps, add = 0, self.steps, taken.append
         for at in range(0, len(piece), LOOK):
             if len(self.states) > self.limit:
                 here = self.states[state]
                 self._begin()
                 state, steps = self._state(here), self.steps
             for byte in piece[at : at + LOOK]:
-                step = steps.get(state << 8 | byte)
-                if step is None:
-                    step = self._step(state, byte)
+                step = steps[state << 8 | byte]
+                add(step)
                 state = step >> _BITS
-                closed.append(step & _TOKEN)
             if at + LOOK < len(piece):
-                sure = self._certain(closed, state)
-                out += self._back(closed, sure, 0)
-                del closed[:sure]
-        return out + self._back(closed, len(closed), 0)
+                sure = self._certain(taken, state)
+                out += self._back(taken, sure)
+                del taken[:sure]
+        return out + self._back(taken, len(taken)) if out else self._back(taken, len(taken))
 
 
 @functools.cache
