@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegrain.functions.text import uniform
+from codegrain.operators.spans import inside
 
 NODES = "array<struct<id:int,parent_id:int,depth:int,type:string,tag:string,start_byte:int,end_byte:int>>"
 Node = tuple[int, int | None, int, str, str | None, int, int]
@@ -301,16 +302,17 @@ def sample_nodes(nodes: DataFrame, keys: list[str], seed: int = 7) -> DataFrame:
 
 def perturbed(chosen: DataFrame, nodes: DataFrame, key: str, share: float = 0.8, seed: int = 7, also: tuple[str, ...] = ()) -> DataFrame:
     """chosen with start_byte and end_byte of the node itself for a share of block and line samples, else of a random part
-    of it, itself included; class and function samples stay whole. Parts are found by a join of intervals within a key.
+    of it, itself included; class and function samples stay whole. Parts are found by a sweep over the ranges of a key.
     also: further columns that tell chosen rows apart, where a node may be chosen more than once."""
-    parts = nodes.select(F.col(key).alias("_key"), F.col("id").alias("_part"), F.col("start_byte").alias("_start"), F.col("end_byte").alias("_end"))
-    inside = chosen.join(parts, (F.col(key) == F.col("_key")) & (F.col("_start") >= F.col("start_byte")) & (F.col("_end") <= F.col("end_byte")))
     more = [F.col(c) for c in also]
-    u = uniform(F.col(key), F.col("id"), *more, F.col("_part"), F.lit(seed))
-    drawn = inside.groupBy(key, "id", *also).agg(F.min_by(F.struct("_start", "_end"), F.struct(u, "_part")).alias("_p"))
     whole = (uniform(F.col(key), F.col("id"), *more, F.lit(seed)) < share) | F.col("grain").isin("class", "function")
+    asked = chosen.where(~whole)
+    pairs = inside(asked.select(key, "id", "start_byte", "end_byte").distinct(), nodes, key)
+    parts = pairs.select(key, F.col("outer_id").alias("id"), F.col("inner_id").alias("_part"), F.col("start_byte").alias("_start"), F.col("end_byte").alias("_end"))
+    u = uniform(F.col(key), F.col("id"), *more, F.col("_part"), F.lit(seed))
+    drawn = asked.select(key, "id", *also).join(parts, [key, "id"]).groupBy(key, "id", *also).agg(F.min_by(F.struct("_start", "_end"), F.struct(u, "_part")).alias("_p"))
     joined = chosen.join(drawn, [key, "id", *also], "left")
-    return joined.withColumns({"start_byte": F.when(whole, F.col("start_byte")).otherwise(F.coalesce("_p._start", "start_byte")), "end_byte": F.when(whole, F.col("end_byte")).otherwise(F.coalesce("_p._end", "end_byte"))}).drop("_p")
+    return joined.withColumns({"start_byte": F.coalesce("_p._start", "start_byte"), "end_byte": F.coalesce("_p._end", "end_byte")}).drop("_p")
 
 
 def imports_of(code: str | None) -> list[str]:

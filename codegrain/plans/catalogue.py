@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.functions import comments, similarity, text
-from codegrain.operators import nodes, paths, quality, ranking, registry, relevance, retrieval, topup
+from codegrain.operators import nodes, paths, quality, ranking, registry, relevance, retrieval, spans, topup
 from codegrain.plans import prompt, score
 from codegrain.sources import jsonl
 
@@ -535,9 +535,42 @@ def html_elements(spark, sf_dir):
 @query("""WITH n AS (SELECT l_orderkey AS tree, l_linenumber AS id, l_linenumber * 10 AS s, l_linenumber * 10 + 25 AS e FROM lineitem)
 SELECT a.tree, a.id, count(*) AS parts FROM n a JOIN n b ON a.tree = b.tree AND b.s >= a.s AND b.e <= a.e GROUP BY ALL""")
 def subpart_intervals(spark, sf_dir):
-    spans = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), F.col("l_linenumber").alias("id"), (F.col("l_linenumber") * 10).alias("s"), (F.col("l_linenumber") * 10 + 25).alias("e"))
-    inner = spans.select("tree", F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return spans.join(inner, "tree").where("s2 >= s and e2 <= e").groupBy("tree", "id").agg(F.count("*").alias("parts"))
+    ranges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), F.col("l_linenumber").alias("id"), (F.col("l_linenumber") * 10).alias("start_byte"), (F.col("l_linenumber") * 10 + 25).alias("end_byte"))
+    return spans.inside(ranges, ranges, "tree").groupBy("tree", F.col("outer_id").cast("int").alias("id")).agg(F.count("*").alias("parts"))
+
+
+_CUT = {"comment": r"(?s)<!--.*?-->", "script": r"(?s)<script\b.*?</script>", "style": r"(?s)<style\b.*?</style>"}
+#: Offsets in characters here; matches are found from the left, as parts and matches in a row.
+RANGES_SQL = "WITH z AS (" + " UNION ALL ".join(
+    f"SELECT page_id, '{name}' AS name, html, string_split_regex(html, '{p}') AS parts, regexp_extract_all(html, '{p}') AS hits FROM pages" for name, p in _CUT.items()
+) + """), each AS (SELECT page_id, name, unnest(range(1, len(hits) + 1)) AS nth, parts, hits FROM z WHERE len(hits) > 0),
+r AS (SELECT page_id, name, CAST(list_sum(list_transform(parts[1:nth], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:nth - 1], lambda x: length(x))), 0) AS BIGINT) AS s, length(hits[nth]) AS n FROM each),
+o AS (SELECT page_id, s, s + n AS e, max(s + n) OVER (PARTITION BY page_id ORDER BY s, s + n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r),
+i AS (SELECT page_id, s, e, sum(CASE WHEN s <= reached THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY s, e) AS island FROM o),
+u AS (SELECT page_id, min(s) AS s, max(e) AS e FROM i GROUP BY page_id, island)"""
+
+
+def _cut_ranges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return pages, spans.found(pages, "page_id", "html", _CUT)
+
+
+@query(RANGES_SQL + """, g AS (SELECT page_id, coalesce(lag(e) OVER (PARTITION BY page_id ORDER BY s), 0) AS a, s AS b FROM u UNION ALL SELECT page_id, max(e), 1000000000 FROM u GROUP BY page_id)
+SELECT page_id, string_agg(substr(html, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), '' ORDER BY a) AS code FROM g JOIN pages USING (page_id) GROUP BY page_id
+UNION ALL SELECT page_id, html FROM pages WHERE page_id NOT IN (SELECT page_id FROM u)""")
+def strip_ranges(spark, sf_dir):
+    """Pages without the ranges of their comments, scripts and styles, which may hold one another."""
+    pages, ranges = _cut_ranges(spark, sf_dir)
+    return spans.without(pages, ranges, "page_id", "html").select("page_id", F.col("html").alias("code"))
+
+
+@query(RANGES_SQL + " SELECT page_id, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS chars FROM u GROUP BY page_id")
+def range_union(spark, sf_dir):
+    """How many ranges are left of each page's when they are joined, and how many characters they hold."""
+    pages, ranges = _cut_ranges(spark, sf_dir)
+    joined = spans.union(ranges, "page_id").join(pages, "page_id")
+    chars = F.length(F.decode(F.substring(F.encode("html", "UTF-8"), (F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int")), "UTF-8"))
+    return joined.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(chars).cast("long").alias("chars"))
 
 
 @query()
