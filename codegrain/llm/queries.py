@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.llm import chat, license_scan, mixing, quality_rules
-from codegrain.llm.common import remainder, table
+from codegrain.llm.common import remainder, stored, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -39,7 +39,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = train(docs, labels.where(remainder(F.col("doc_id"), 4) != 2))
-    scored = score(docs, model)
+    scored = stored(score(docs, model))
     return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -51,7 +51,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+    return stored(license_scan.scan(table(spark, sf_dir, "documents"), threshold=0.8))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(remainder(F.col("doc_id"), 3) != 1))
-    predicted = predict(docs, model)
+    predicted = stored(predict(docs, model))
     return predicted.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 

@@ -159,3 +159,32 @@ def test_scores_of_odd_rows(spark):
     one = quality_classifier.train(docs, labels.where("quality = 1"))
     assert {r["score"] for r in quality_classifier.score(docs, one).collect()} == {1.0}
     assert quality_classifier.score(docs.limit(0), one).count() == 0
+
+
+@pytest.mark.parametrize(("most", "least"), [(1024, 0.97), (200, 0.8)])
+def test_every_language_is_learned(spark, most, least):
+    """300 languages of their own syllables; in the second case a third of them have no landmark and are told by others."""
+    rng = np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüéèßñçøåþ"))
+    syllables = [["".join(rng.choice(letters, rng.integers(2, 4))) for _ in range(12)] for _ in range(300)]
+    text = lambda k: " ".join("".join(rng.choice(syllables[k], rng.integers(1, 4))) for _ in range(40))
+    rows = [(i, text(i % 300), f"l{i % 300:03d}", "x", 1) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, lang_pred int").repartition(6)
+    learned = docs.where("doc_id % 8 <> 0 or doc_id % 300 = 7")
+    model = langid.train(learned, per_language=20, most_landmarks=most)
+    assert model.names == sorted({r[2] for r in rows}) and len(model.scale) <= most
+    right = {r[0]: r[2] for r in rows}
+    got = [r for r in langid.predict(docs, model).collect() if r["doc_id"] % 8 == 0]
+    assert np.mean([right[r["doc_id"]] == r["lang_pred"] for r in got]) > least
+
+
+def test_a_model_made_dense_in_steps_is_the_same():
+    rng = np.random.default_rng(2)
+    texts = [np.unique(rng.integers(0, 400, rng.integers(0, 90))) for _ in range(50)]
+    whole = langid.landmarks(texts[:20])
+    before, langid.DENSE = langid.DENSE, 64
+    try:
+        values, among = whole.kernel(texts), whole.among()
+    finally:
+        langid.DENSE = before
+    assert np.allclose(values, whole.kernel(texts), atol=1e-6) and np.allclose(among, whole.kernel(texts[:20])[:20], atol=1e-5)
