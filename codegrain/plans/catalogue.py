@@ -812,3 +812,47 @@ def stream_score(spark, sf_dir):
     base = scratch(spark)
     score_available(stream(spark, f"{sf_dir}/documents.parquet*", schema), plan, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.schema("doc_id long, n long, n_lines long").parquet(f"{base}/out")
+
+
+_TRIES = 3
+
+
+@query(f"""SELECT conv_id || ':' || turn AS sample_id, CASE WHEN length(coalesce(text, '')) % 5 < {_TRIES} THEN CAST(length(coalesce(text, '')) AS VARCHAR) ELSE '' END AS answer,
+CASE WHEN length(coalesce(text, '')) % 5 < {_TRIES} THEN NULL ELSE 'ValueError: not now' END AS error, CAST(least(length(coalesce(text, '')) % 5 + 1, {_TRIES}) AS INT) AS tries FROM conversations""")
+def answers_retried(spark, sf_dir):
+    """Every turn asked of a model that answers at its first try or a later one, or never; failed calls come back by timer."""
+    from codegrain.sources.shared import scratch
+    from codegrain.streaming.infer import answer_all
+
+    def client(messages, model, attempt):
+        said = messages[-1].get("content") or ""
+        if attempt < len(said) % 5:
+            raise ValueError("not now")
+        return str(len(said))
+
+    one = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    base = scratch(spark)
+    table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sample_id"), F.lit("m").alias("model"), one.alias("messages")).write.parquet(f"{base}/tasks")
+    return answer_all(spark, f"{base}/tasks", client, f"{base}/answers", f"{base}/checkpoint", tries=_TRIES, wait_ms=200, every="500 milliseconds").select("sample_id", "answer", "error", "tries")
+
+
+_FED, _FILES = 10, 4
+
+
+@query(f"""WITH s AS (SELECT (max(event_id) + {_FED}) // {_FED} AS step FROM events), b AS (SELECT event_id // step AS batch, count(*) AS n, count(*) FILTER (event_type = 'error' AND event_id % 7 = 0) AS failed FROM events, s GROUP BY 1),
+c AS (SELECT *, coalesce(sum(failed) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+SELECT batch, n, failed FROM c WHERE before < 100""")
+def budget_stop(spark, sf_dir):
+    """Events in the order of their ids, fed in ten batches to a stream that a hundred failures stop; of the errors every seventh
+    id counts as one, so that small tables are stopped on the way."""
+    from codegrain.sources.shared import scratch
+    from codegrain.streaming.budget import run_within
+    from codegrain.streaming.score import stream
+
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    base, step = scratch(spark), ((events.agg(F.max("event_id")).first()[0] or 0) + _FED) // _FED
+    for k in range(_FED):
+        events.where(F.col("event_id").between(k * step, (k + 1) * step - 1)).repartition(_FILES).write.mode("append").parquet(f"{base}/fed")
+    failed = (F.col("event_type") == "error") & (F.col("event_id") % 7 == 0)
+    rows, _ = run_within(stream(spark, f"{base}/fed", events.schema, _FILES), failed, 100, f"{base}/out", f"{base}/checkpoint")
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"))
