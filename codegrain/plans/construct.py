@@ -10,14 +10,15 @@ from codegrain.functions.text import code_tokens, masked, uniform
 from codegrain.operators.nodes import classify, exploded, grain, perturbed, project_modules, python_imports, sample_nodes, with_nodes
 from codegrain.operators.paths import ratios
 from codegrain.operators.quality import first_n, in_band, passes_gate, weighted_choice
-from codegrain.operators.relevance import context
+from codegrain.operators.relevance import context, context_code
+from codegrain.operators.retrieval import context_top
 from codegrain.operators.skeletons import class_skeleton_udf, function_skeleton_udf
 from codegrain.operators.topup import numbered, picked, top_up
 from codegrain.plans.score import scored
 from codegrain.sources.shared import scratch
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -27,7 +28,7 @@ def grained_nodes(files: DataFrame, symbols: DataFrame | None = None) -> DataFra
     """(file, grain, sub_task, id, start_byte, end_byte), stored: the nodes of files (file, language, code) that have a grain."""
     nodes = classify(exploded(with_nodes(files.select("file", "language", "code")).drop("code")), symbols)
     of, label = grain(F.col("category"), F.col("tag"))
-    return _stored(nodes.withColumns({"grain": of, "sub_task": label}).where("grain is not null").select("file", "grain", "sub_task", "id", "start_byte", "end_byte"))
+    return stored(nodes.withColumns({"grain": of, "sub_task": label}).where("grain is not null").select("file", "grain", "sub_task", "id", "start_byte", "end_byte"))
 
 
 def drawn_nodes(files: DataFrame, attempts: int = 3, seed: int = 7, levels: tuple[str, ...] = (), symbols: DataFrame | None = None) -> DataFrame:
@@ -107,6 +108,15 @@ def task_context(made: DataFrame, files: DataFrame, installed: tuple[str, ...] =
     return context(queries, files.select(F.col("repo_name").alias("repo"), "path", code_tokens(F.col("code")).alias("tokens")), F.col("modules"))
 
 
+def best_context(made: DataFrame, files: DataFrame, most: int, installed: tuple[str, ...] = ()) -> DataFrame:
+    """(sample_id, context_code): for each task the code of the `most` best other files of its repository, the best first, by
+    import hits and then by BM25; no ranking of all files is made. Tasks without such a file have no row."""
+    whole = F.concat("prefix", "middle", "suffix")
+    queries = made.select("sample_id", F.col("repo_name").alias("repo"), "path", code_tokens(whole).alias("tokens"), project_modules(python_imports()(whole), installed).alias("modules"))
+    held = files.where("code is not null").select(F.col("repo_name").alias("repo"), "path", "code", code_tokens(F.col("code")).alias("tokens"))
+    return context_code(context_top(queries, held.drop("code"), most), held, most)
+
+
 def kept_tasks(made: DataFrame, answers: DataFrame, per_repo: int | None = 5, low: float = 10, high: float = 50, raw_models: tuple[str, ...] = ()) -> DataFrame:
     """Tasks that a model neither fails outright nor solves, at most per_repo of each repository and grain, with model,
     answer, similarity and the cleaned texts that were compared.

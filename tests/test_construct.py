@@ -111,10 +111,28 @@ def test_commands(spark, tmp_path):
     (tmp_path / "answers.jsonl").write_text("\n".join(json.dumps({"sample_id": r["sample_id"], "model": "m", "try": 0, "answer": "```python\n" + "\n".join(r["middle"].split("\n")[:5]) + "\n```"}) for r in made))
     main(["keep", "--tasks", str(tmp_path / "tasks"), "--answers", str(tmp_path / "answers.jsonl"), "--out", str(tmp_path / "kept")], spark)
     main(["report", "--scored", str(tmp_path / "kept"), "--out", str(tmp_path / "report")], spark)
+    records = spark.read.schema(jsonl.RECORD).option("recursiveFileLookup", True).json(str(tmp_path / "kept")).collect()
+    for r in records:  # every task has the two other files
+        assert sorted(p for p, _ in r["context_code"]) == sorted(f"src/m{i}.py" for i in range(3) if not r["file_name"].endswith(f"m{i}.py"))
+        assert all(code == body(int(p[-4]), 12 + int(p[-4])) for p, code in r["context_code"])
     shown = spark.read.json(str(tmp_path / "report")).first()
     assert shown["language"] == "python" and 10 < shown["function"] < 50 and shown["class"] == 0
 
 
+def test_construct_of_several_languages_in_rounds(spark, tmp_path):
+    from codegrain.__main__ import main
+
+    (tmp_path / "repos/a").mkdir(parents=True)
+    for i in range(3):
+        (tmp_path / f"repos/a/m{i}.py").write_text(body(i, 12 + i))
+    lines = "\n".join(f"    int v{k} = {k};" for k in range(14))
+    (tmp_path / "repos/a/M.java").write_text(f"class M {{\n  int f(int x) {{\n{lines}\n    return x;\n  }}\n}}\n")
+    main(["construct", "--repos", str(tmp_path / "repos"), "--language", "python", "java", "--levels", "function", "--top-up", "--per-repo", "4", "--attempts", "10", "--context", "1", "--out", str(tmp_path / "tasks")], spark)
+    made = spark.read.parquet(str(tmp_path / "tasks")).collect()
+    assert len(made) == 4 and {r["language"] for r in made} == {"python", "java"} and {r["grain"] for r in made} == {"function"}
+    assert all(len(r["context_code"]) == 1 for r in made)
+
+
 RUBY = "class A\n  def f(x)\n    if x\n      y = 1\n    else\n      y = 2\n    end\n    return y\n  end\nend\n"
 LUA = "local m = require('m')\nfunction f(a)\n  for i = 1, 3 do\n    a = a + i\n  end\n  return a\nend\n"
 VERILOG = "module m(input a);\n  always @(posedge a) begin\n    if (a) begin\n      b <= 1;\n    end\n  end\nendmodule\n"
