@@ -55,6 +55,33 @@ def similarity_bound(a: Column, b: Column) -> Column:
     return F.try_divide(F.least(a, b).cast("double"), F.greatest(a, b).cast("double")) * 100
 
 
+def bag_distance(a: Column, b: Column) -> Column:
+    """No edit distance of two texts is below this: the length of the longer one less the characters they share, places aside."""
+    count = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+    return F.greatest(F.length(a), F.length(b)) - F.when(F.length(a) == 0, 0).otherwise(shared)
+
+
+def band_by_bounds(a: Column, b: Column, low: float = 10, high: float = 50) -> Column:
+    """struct(band, how): which side of a band of similarity, open at both ends, two texts are on: 'hard' up to low, 'easy' from
+    high on, 'kept' between; null if a side is null or both are empty. As with percent(), rounded to four decimals.
+
+    The whole distance is never computed: lengths (how 'length') or characters in common ('bag') may rule out that it is small
+    enough for the band, else a banded distance that gives up beyond a bound tells easy pairs, and a wider one kept from hard
+    ones ('narrow', 'wide').
+    """
+    longest = F.greatest(F.length(a), F.length(b))
+    # the largest distances of easy and of kept pairs, with what rounding adds
+    most_easy = F.floor(longest * ((100 - high) / 100 + 5e-7) + 1e-9).cast("int")
+    most_kept = F.floor(longest * ((100 - low) / 100 - 5e-7) - 1e-9).cast("int")
+    told = lambda band, how: F.struct(F.lit(band).alias("band"), F.lit(how).alias("how"))
+    within = lambda most: F.call_function("levenshtein", a, b, most) >= 0
+    bound = bag_distance(a, b)
+    wide = F.when(bound > most_kept, told("hard", "bag")).when(within(most_kept), told("kept", "wide")).otherwise(told("hard", "wide"))
+    tell = F.when(F.abs(F.length(a) - F.length(b)) > most_kept, told("hard", "length")).when(bound > most_easy, wide).when(within(most_easy), told("easy", "narrow")).when(within(most_kept), told("kept", "wide")).otherwise(told("hard", "wide"))
+    return F.when(a.isNotNull() & b.isNotNull() & (longest > 0), tell)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; null if both are empty."""
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))

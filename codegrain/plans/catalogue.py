@@ -137,6 +137,18 @@ def difficulty_band(spark, sf_dir):
     return _scores(spark, sf_dir).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
 
 
+@query(PAIRS_SQL + " SELECT CASE WHEN score <= 10 THEN 'hard' WHEN score < 50 THEN 'kept' ELSE 'easy' END AS band, count(*) AS n FROM scores GROUP BY 1")
+def difficulty_band_bounded(spark, sf_dir):
+    """The same bands by bounds and distances that give up."""
+    return _pairs(spark, sf_dir).select(similarity.band_by_bounds(F.col("a"), F.col("b"))["band"].alias("band")).groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query()
+def difficulty_band_work(spark, sf_dir):
+    """By what the bands were told, and for how many pairs."""
+    return _pairs(spark, sf_dir).select(similarity.band_by_bounds(F.col("a"), F.col("b")).alias("t")).groupBy("t.band", "t.how").agg(F.count("*").alias("n"))
+
+
 # --- comments and code extraction ------------------------------------------------------------------------------------
 
 

@@ -83,3 +83,43 @@ def test_comments_go_from_every_document(spark, made):
         for name in comments.OF_LANGUAGE["r"]:
             t = re.sub(comments.FORMS[name], "", t, flags=re.M | re.S)
         assert got[i] == t
+
+
+def test_bands_are_those_of_the_whole_distance(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from codegrain.functions import similarity
+
+    rng = random.Random(6)
+    texts = ["", "a", "ab" * 20, "é中😀" * 5, "x" * 40] + ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 60))) for _ in range(25)]
+    texts += [t[: len(t) // k] + "z" * (len(t) // 9) for t in texts[5:15] for k in (2, 3, 10)] + ["q" * 10, "q" * 5 + "r" * 5, "q" + "r" * 9]
+    pairs = [(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts) if (i + j) % 3 == 0] + [(-1, 0, None, "a"), (-2, 0, "a", None)]
+    frame = spark.createDataFrame(pairs, "i int, j int, a string, b string").repartition(4)
+    for low, high in ((10, 50), (0, 100), (30, 31)):
+        got = {(r["i"], r["j"]): r["t"] for r in frame.select("i", "j", similarity.band_by_bounds(F.col("a"), F.col("b"), low, high).alias("t")).collect()}
+        for i, j, a, b in pairs:
+            if a is None or b is None or not a + b:
+                assert got[i, j] is None
+                continue
+            score = percent(a, b)
+            assert got[i, j]["band"] == ("hard" if score <= low else "kept" if score < high else "easy"), (a, b, low, high)
+        assert len({t["how"] for t in got.values() if t}) >= 3
+
+
+def test_a_report_of_scored_answers(spark, tmp_path):
+    """By hand: what the report of the catalogue makes of its answers."""
+    turns = ["a b c d " * 3, "a b c x " * 3, "def f ( x ) :", "def g ( x ) :", "q", "a b c d " * 3]
+    rows = [(c, t, turns[(c + 2 * t) % len(turns)]) for c in range(8) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    said = {(c, t): x for c, t, x in rows}
+    words = lambda x: re.findall(r"\w+|[^\w\s]", x)
+    scores = {}
+    for (c, t), b in said.items():
+        if t:
+            kind = ("class", "function", "block", "line")[c % 4]
+            scores.setdefault(("python" if c % 2 == 0 else "java", kind), []).append(percent(words(said[c, t - 1]), words(b)))
+    want = {lang: {k: int(sum(x) / len(x)) if (x := scores.get((lang, k))) else 0 for k in ("class", "function", "block", "line")} for lang in ("python", "java")}
+    got = {r["language"]: {k: r[k] for k in ("class", "function", "block", "line")} for r in QUERIES["scored_report"](spark, str(tmp_path)).collect()}
+    assert got == want
