@@ -18,8 +18,8 @@ from codegrain.llm.common import SPACE, WORD, fresh, stored
 
 #: Rows that the estimate looks at, about, drawn by hash from the whole table.
 SAMPLE_ROWS = 2_000
-#: How often a rule is applied to each of them, and how often that is timed.
-REPEATS, TIMINGS = 2, 2
+#: How often a timed job applies a rule to each of them.
+REPEATS = 3
 
 
 def let(value: Column, body) -> Column:
@@ -137,26 +137,32 @@ def ready(name: str) -> Column:
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, share rejected, seconds for a row) on about sample_rows rows, drawn by a hash of doc_id and text.
 
-    A rule's seconds are those of a job that applies it several times to each row of the stored sample, less those of the
-    same job with a rule that looks at nothing; the fastest of some runs of either, after one that warms them up. Empty
-    tables and samples reject nothing at no cost.
+    One job tells the shares of all rules, and warms up what they use. A rule's seconds are those of one job that applies it
+    several times to each row of the stored sample, less those of the same job with a rule that looks at nothing. Empty tables
+    and samples reject nothing at no cost, and nothing is timed.
     """
-    share = min(1.0, sample_rows / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))
+    nothing_known = [(r.name, 0.0, 0.0) for r in rules]
+    held = docs.count()
+    if not held:
+        return nothing_known
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, sample_rows / held) * (1 << 30))
     sample = stored(docs.where(drawn).select(F.col("text").cast("string").alias("text")))
-    n = max(1, sample.count()) * REPEATS
+    rejects = lambda rule: F.coalesce(lazily(F.col("text"), rule.rejects), F.lit(False))
+    n, *rejected = sample.agg(F.count("*"), *(F.count_if(rejects(r)) for r in rules)).first()
+    if not n:
+        return nothing_known
     repeated = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("turn"))
 
-    def timed(rule: Rule) -> tuple[float, int]:
-        job = repeated.agg(F.sum(F.coalesce(lazily(F.col("text"), rule.rejects), F.lit(False)).cast("long")))
+    def timed(rule: Rule) -> float:
+        job = repeated.agg(F.count_if(rejects(rule)))
         began = time.perf_counter()
-        rejected = job.first()[0]
-        return time.perf_counter() - began, rejected or 0
+        job.collect()
+        return time.perf_counter() - began
 
     nothing = Rule("", lambda m: F.lit(False))
-    runs = [{r: timed(r) for r in (nothing, *rules)} for _ in range(1 + TIMINGS)][1:]
-    seconds = {r: min(run[r][0] for run in runs) for r in (nothing, *rules)}
-    return [(r.name, runs[0][r][1] / n, max(0.0, seconds[r] - seconds[nothing]) / n) for r in rules]
+    timed(nothing)
+    base = timed(nothing)
+    return [(r.name, k / n, max(0.0, timed(r) - base) / (n * REPEATS)) for r, k in zip(rules, rejected, strict=True)]
 
 
 def order(rules: tuple[Rule, ...], estimates: list[tuple[str, float, float]]) -> list[Rule]:
@@ -177,7 +183,8 @@ def cascade(rules: list[Rule], metric=ready) -> Column:
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """documents (doc_id, text) with every metric, rejected_by and kept; input columns of these names are replaced.
 
-    A null text has no words. Each row is judged by its own text alone, repeated rows alike; no rows, no result.
+    rejected_by is the first rule, as they were given, that rejects the text, so reruns agree; the verdict is that of the
+    cascade in the order of the estimates, which is the same in any order. A null text has no words. Each row is judged by its own text alone, repeated rows alike; no rows, no result.
     """
     ordered = order(rules, estimate(docs, rules, sample_rows))
     text = F.col("text").cast("string")
@@ -187,7 +194,7 @@ def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = S
     shared = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _covered(w).alias("n_repeat_words")))
     measured = bare.withColumns({words: shared} | {name: of(text) for name, of in METRICS.items() if name not in ("n_words", "n_repeat_words")})
     measured = measured.withColumns({name: F.col(words)[name] for name in ("n_words", "n_repeat_words")}).drop(words)
-    return measured.withColumn("rejected_by", cascade(ordered)).withColumn("kept", F.col("rejected_by").isNull())
+    return measured.withColumns({"rejected_by": cascade(list(rules)), "kept": cascade(ordered).isNull()})
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
