@@ -447,11 +447,13 @@ def extension_filter(spark, sf_dir):
 _VALUES = lambda names: ", ".join(f"('{n}')" for n in names)
 
 
-@query(f"""SELECT language, level FROM (VALUES {_VALUES(paths.LANGUAGES)}) AS a(language), (VALUES {_VALUES(paths.LEVELS)}) AS b(level)
-WHERE (language, level) NOT IN ({", ".join(map(str, paths.EXCLUDED))})""")
+@query(f"""WITH l AS (SELECT page_id, ([{", ".join(f"'{n}'" for n in paths.LANGUAGES)}])[CAST(page_id % {len(paths.LANGUAGES)} + 1 AS INT)] AS language FROM pages)
+SELECT language, level, count(*) AS n FROM l, (VALUES {_VALUES(paths.LEVELS)}) AS b(level) WHERE (language, level) NOT IN ({", ".join(map(str, paths.EXCLUDED))}) GROUP BY ALL""")
 def task_matrix(spark, sf_dir):
-    every = spark.createDataFrame([(a,) for a in paths.LANGUAGES], "language string").withColumn("level", F.explode(F.array(*map(F.lit, paths.LEVELS))))
-    return every.join(spark.createDataFrame(list(paths.EXCLUDED), "language string, level string"), ["language", "level"], "left_anti")
+    """How many files of each language are asked for at each level that it has: pages as files of the languages in turn."""
+    language = F.element_at(F.array(*map(F.lit, paths.LANGUAGES)), (F.col("page_id") % len(paths.LANGUAGES) + 1).cast("int"))
+    every = table(spark, sf_dir, "pages").groupBy(language.alias("language")).agg(F.count("*").alias("n")).withColumn("level", F.explode(F.array(*map(F.lit, paths.LEVELS))))
+    return every.join(spark.createDataFrame(list(paths.EXCLUDED), "language string, level string"), ["language", "level"], "left_anti").select("language", "level", "n")
 
 
 @query("""WITH g AS (SELECT doc_id, text, (['class', 'function', 'block', 'line'])[CAST(doc_id % 4 + 1 AS INT)] AS grain, len(string_split(text, chr(10))) AS n FROM documents)
