@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.functions import comments, similarity, text
-from codegrain.operators import nodes, paths, quality, ranking, registry, relevance, retrieval, spans, topup
+from codegrain.operators import nodes, paths, quality, ranking, registry, relevance, retrieval, spans, text_links, topup
 from codegrain.plans import prompt, score
 from codegrain.sources import jsonl
 
@@ -264,6 +264,19 @@ def jaccard_pairs(spark, sf_dir):
     return pairs.select("doc_id", F.round(similarity.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
+@query(r"""WITH t AS (SELECT doc_id, list_sort(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents), s AS (SELECT doc_id, w FROM t WHERE len(w) > 0),
+bag AS (SELECT min(doc_id) AS bag, w, count(*) AS n FROM s GROUP BY w), tf AS (SELECT bag, n, term, count(*) AS tf FROM (SELECT bag, n, unnest(w) AS term FROM bag) GROUP BY ALL),
+df AS (SELECT term, sum(n) AS df FROM tf GROUP BY term), raw AS (SELECT bag, n, term, df, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM s)) / (1.0 + df)) + 1) AS r FROM tf JOIN df USING (term)),
+v AS (SELECT bag, n, term, df, r / sqrt(sum(r * r) OVER (PARTITION BY bag)) AS x FROM raw),
+l AS (SELECT a.bag AS a, b.bag AS b, b.n, round(sum(a.x * b.x), 9) AS c FROM v a JOIN v b ON a.term = b.term AND a.bag <> b.bag GROUP BY ALL HAVING round(sum(a.x * b.x), 9) >= 0.9),
+o AS (SELECT a AS bag, sum(n) AS others FROM l GROUP BY a)
+SELECT t.doc_id, CAST(coalesce(bag.n - 1 + coalesce(o.others, 0), 0) AS BIGINT) AS n_links FROM t LEFT JOIN bag ON bag.w = t.w AND len(t.w) > 0 LEFT JOIN o ON o.bag = bag.bag""")
+def text_cosine_links(spark, sf_dir):
+    """How many other documents are as close to each as a cosine of 0.9 of their terms."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.words(F.lower("text")).alias("tokens"))
+    return text_links.link_counts(docs, 0.9).select(F.col("id").alias("doc_id"), "n_links")
+
+
 @query()
 def fuzzy_ratio(spark, sf_dir):
     ratio = similarity.fuzzy_ratio()
