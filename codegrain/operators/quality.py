@@ -55,3 +55,13 @@ def weighted_choice(weights: dict[str, float], counts: dict[str, Column], *keys:
     for k, w, edge in reversed(edges):
         out = F.when((w > 0) & (u < edge), k).otherwise(out)
     return F.when(total > 0, out)
+
+
+def weighted_sample(df: DataFrame, strata: list[str], weight: Column, keys: list[str], k: int, seed: int = 7) -> DataFrame:
+    """df with rank, from 1: k rows of each stratum without replacement, a row drawn next with a chance of its weight among those
+    that are left. Each row gets an exponential of its weight's rate by a hash of its keys, and the k smallest stay, so tasks keep k
+    of a stratum before anything is shuffled, whatever its size. Rows without a weight above 0 are never drawn; rows with equal
+    keys have equal draws."""
+    arrival = -F.log(1 - uniform(*map(F.col, [*strata, *keys]), F.lit(seed))) / weight
+    drawn = df.withColumn("_arrival", F.when(weight > 0, arrival)).where("_arrival is not null")
+    return first_n(drawn, strata, ["_arrival", *keys], k).drop("_arrival")

@@ -11,6 +11,7 @@ from codegrain.operators import nodes, paths, quality, ranking, registry, releva
 from codegrain.plans import prompt, score
 from codegrain.sources import jsonl
 
+_U = "('0x' || substr(md5(doc_id || ':' || {}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -89,6 +90,19 @@ def scored_answers(spark, sf_dir):
     return score.scored(_answers(spark, sf_dir), raw_models=("raw",)).select("conv_id", "turn", "language", "fill_type", F.length("true_clean").alias("true_chars"), F.length("predicted_clean").alias("predicted_chars"), "similarity")
 
 
+@query()
+def scored_stream(spark, sf_dir):
+    """The same answers scored as they arrive in files, by the same plan; a run that is repeated writes nothing twice."""
+    from codegrain.sources.shared import scratch
+    from codegrain.streaming.score import score_available, stream
+
+    base, made = scratch(spark), _answers(spark, sf_dir)
+    made.write.parquet(f"{base}/answers")
+    plan = lambda rows: score.scored(rows, raw_models=("raw",)).select("conv_id", "turn", "language", "fill_type", F.length("true_clean").alias("true_chars"), F.length("predicted_clean").alias("predicted_chars"), "similarity")
+    score_available(stream(spark, f"{base}/answers", made.schema, 4), plan, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(plan(made).schema).parquet(f"{base}/out")
+
+
 @query()
 def scored_report(spark, sf_dir):
     """The report over scored answers: a row for each language, a column for each grain."""
@@ -422,6 +436,15 @@ def model_registry_join(spark, sf_dir):
     return resolved.join(used, "model").select("model", "url", "temperature", (F.col("url") != "").alias("listed"), "n")
 
 
+@query(f"""WITH u AS (SELECT lang, source, doc_id, length(text) AS w, {_U.replace("doc_id || ':' || {}", "concat_ws(':', lang, source, doc_id, 7)")} AS u FROM documents)
+SELECT lang, source, doc_id, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY -ln(1 - u) / w, doc_id) AS INT) AS rank FROM u WHERE w > 0
+QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY -ln(1 - u) / w, doc_id) <= 3""")
+def weighted_samples(spark, sf_dir):
+    """Three documents of each language and source, drawn by length without replacement."""
+    docs = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.length("text").alias("w"))
+    return quality.weighted_sample(docs, ["lang", "source"], F.col("w"), ["doc_id"], 3).select("lang", "source", "doc_id", "rank")
+
+
 _PARTS = ("", "src/", "tests/", "docs/", "vendor/", "bin/", "tb/", "Pods/", "renv/", "spec/", "project/", "storage/", "lib/test_", "x.d.ts/", ".")
 
 
@@ -540,7 +563,6 @@ def top_up_report(spark, sf_dir):
     return _site_draws(spark, sf_dir)[1].withColumn("fixed", F.lit(_MOST))
 
 
-_U = "('0x' || substr(md5(doc_id || ':' || {}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
 @query(f"""WITH w AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS wc, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 2 END AS wf, {_U.format("'s'")} AS u FROM documents)

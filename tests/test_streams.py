@@ -87,3 +87,11 @@ def test_calls_that_take_too_long_are_left_behind():
 
     assert infer.asked(lambda m, model, attempt: time.sleep(1) or "late", [], "m", 0, 0.05)[1].startswith("TimeoutError")
     assert infer.asked(lambda m, model, attempt: json.dumps([model, attempt]), [], "m", 4, None) == ('["m", 4]', None)
+
+
+def test_answers_scored_as_they_arrive_are_those_of_the_batch(spark):
+    from codegrain.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got, want = (sorted(map(tuple, QUERIES[name](spark, sf).collect())) for name in ("scored_stream", "scored_answers"))
+    assert got == want and len(got) > 20

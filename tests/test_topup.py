@@ -73,3 +73,19 @@ def test_equal_successes_count_once(spark):
     kept, report = topup.top_up(groups, draw, 3, 12, unlike="like")
     assert {(r["name"], r["attempt"], r["like"]) for r in kept.collect()} == {(n, 3 * i, i) for n in "ab" for i in range(3)}
     assert all(r["kept"] == 3 and 7 <= r["drawn"] <= 12 and r["rounds"] > 1 for r in report.collect())
+
+
+def test_weighted_samples_of_strata(spark):
+    import math
+
+    from codegrain.operators.quality import weighted_sample
+
+    rows = [(s, i, w) for s, n in (("a", 400), ("b", 3), ("c", 1)) for i, w in ((i, [1.0, 5.0, 0.0, None, -1.0][i % 5]) for i in range(n))]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "s string, id int, w double, _at string").repartition(5)
+    want = set()
+    for s in "abc":
+        drawn = sorted((-math.log(1 - u(s, i, 7)) / w, i) for t, i, w in rows if t == s and w and w > 0)
+        want |= {(s, i, k + 1) for k, (_, i) in enumerate(drawn[:60])}
+    got = {(r["s"], r["id"], r["rank"]) for r in weighted_sample(frame, ["s"], F.col("w"), ["id"], 60).collect()}
+    assert got == want
+    assert sum(i % 5 == 1 for s, i, _ in got if s == "a") > 40  # five times the weight
