@@ -23,6 +23,7 @@ FORMS = {
     "pod": r"=pod[\s\S]*?=cut",
     "angle": r"<!--[\s\S]*?-->",
 }
+#: Forms that several languages share.
 _C_LIKE = ("slashes", "block")
 _SHELL_LIKE = ("hash", "hash_line")
 #: Which forms a language has, in the order in which they are removed.

@@ -42,28 +42,38 @@ def _first(text: Column, pattern: Column, group: int) -> Column:
     return F.when(F.regexp_like(text, pattern), F.call_function("regexp_extract", text, pattern, F.lit(group)))
 
 
+#: What marks code in an answer, after the opening of a fence of the language and elsewhere, and how classes are named.
+MARKED_IN_FENCE = r"(?U)\s*\[TASK_BEGIN\](.*?)\[TASK_END\]\s*```"
+MARKED = r"(?s)\[TASK_BEGIN\](.*?)\[TASK_END\]"
+IN_FENCE = r"(?U)\s*(.*?)\s*```"
+ANY_FENCE = r"(?s)```(.*?)\n(.*?)```"
+PUBLIC_CLASS = r"(?U)public class\s+(\w*?)\s+\{"
+CLASS_BRACE = r"(?U)class\s+(\w*?)\s+\{"
+CLASS_NAME = r"(?U)class\s+(\w+)"
+
+
 def extract_code(answer: Column, language: Column) -> Column:
     """Code of a model's answer: between the task markers in a fence of the language, else between bare markers, else in
     such a fence; stripped. '' for null or empty answers, null if nothing matches."""
     fence = F.concat(F.lit(r"(?s)```\Q"), language, F.lit(r"\E"))
-    marked = _first(answer, F.concat(fence, F.lit(r"(?U)\s*\[TASK_BEGIN\](.*?)\[TASK_END\]\s*```")), 1)
-    bare = _first(answer, F.lit(r"(?s)\[TASK_BEGIN\](.*?)\[TASK_END\]"), 1)
-    fenced = _first(answer, F.concat(fence, F.lit(r"(?U)\s*(.*?)\s*```")), 1)
+    marked = _first(answer, F.concat(fence, F.lit(MARKED_IN_FENCE)), 1)
+    bare = _first(answer, F.lit(MARKED), 1)
+    fenced = _first(answer, F.concat(fence, F.lit(IN_FENCE)), 1)
     return F.when(F.coalesce(answer, F.lit("")) == "", "").otherwise(strip(F.coalesce(marked, bare, fenced)))
 
 
 def first_fence(text: Column) -> Column:
     """Body of the first fenced block after its info line, the whole text without one."""
-    return F.coalesce(_first(text, F.lit(r"(?s)```(.*?)\n(.*?)```"), 2), text)
+    return F.coalesce(_first(text, F.lit(ANY_FENCE), 2), text)
 
 
 def public_class_name(code: Column) -> Column:
     """Main without a public class, else the name of the first class that opens a brace."""
-    return F.when(code.rlike(r"(?U)public class\s+(\w*?)\s+\{"), F.regexp_extract(code, r"(?U)class\s+(\w*?)\s+\{", 1)).otherwise("Main")
+    return F.when(code.rlike(PUBLIC_CLASS), F.regexp_extract(code, CLASS_BRACE, 1)).otherwise("Main")
 
 
 def header_class_name(header: Column, stem: Column) -> Column:
-    return F.coalesce(_first(header, F.lit(r"(?U)class\s+(\w+)"), 1), stem)
+    return F.coalesce(_first(header, F.lit(CLASS_NAME), 1), stem)
 
 
 def fill_type(c: Column) -> Column:
