@@ -197,7 +197,7 @@ class Transducer:
 
 @functools.cache
 def patterns(pattern: str):
-    """(usual, odd, strict): the pattern compiled; a search for characters that the two libraries' tables judge differently,
+    """(usual, odd, strict): the pattern compiled; the characters that the two libraries' tables judge differently, if any,
     and the pattern for texts that have some. Tables of letters and numbers grow with Unicode; the ones that count are those
     of the tokenizer library, which is asked about characters that are new to Python's."""
     import regex
@@ -218,7 +218,7 @@ def patterns(pattern: str):
     for name, chars in odd.items():
         if chars:
             strict = strict.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}--[{ranges(chars)}]]")
-    return usual, regex.compile(f"[{ranges({c for x in odd.values() for c in x})}]"), regex.compile(strict, regex.V1)
+    return usual, frozenset(chain.from_iterable(odd.values())), regex.compile(strict, regex.V1)
 
 
 def _ranges(points: list[int]) -> list[tuple[int, int]]:
@@ -246,7 +246,7 @@ class Encoder:
 
     def __call__(self, text: str) -> Iterator[list[int]]:
         """Ids of some pieces at a time."""
-        pattern = self.usual if text.isascii() or self.odd is None or not self.odd.search(text) else self.strict
+        pattern = self.usual if text.isascii() or self.odd is None or self.odd.isdisjoint(text) else self.strict
         if len(text) <= CHUNK:
             yield list(chain.from_iterable(map(self.pieces.__getitem__, pattern.findall(text))))
             return
@@ -272,6 +272,15 @@ def _next_state(state: int, byte: int) -> int:
     return {1: 0, 2: 1, 3: 2, 4: 1, 5: 1, 6: 2, 7: 2}[state]
 
 
+def _whole(text: bytes) -> bool:
+    """Whether bytes are whole characters: from between two characters the state machine gets back there."""
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Decoder:
     """Turns ids into bytes as they come. feed() returns whole characters only and keeps what is begun; finish() returns
     what was begun and never ended. A byte that cannot stand where it does is handed on as it is, and the machine goes on
@@ -305,6 +314,8 @@ class Decoder:
 
     def feed(self, ids: list[int]) -> bytes:
         out = self.kept + b"".join(map(self.tokens.__getitem__, ids))
+        if not self.state and _whole(out):
+            return out
         state, tail = self.state, len(self.kept)
         at, n = 0, len(ids)
         special = np.flatnonzero(~self.plain[np.array(ids, np.int64)]).tolist() if n else []
@@ -384,12 +395,13 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, decoder = coder(path, pattern)
+        shown = {rank: str(rank) for rank in decoder.tokens}
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 n, listed, back = 0, hashlib.sha256(), hashlib.sha256()
                 for ids in encode(text.as_py() or ""):
-                    listed.update((" " if n else "").encode() + " ".join(map(str, ids)).encode())
+                    listed.update((" " if n else "").encode() + " ".join(map(shown.__getitem__, ids)).encode())
                     back.update(decoder.feed(ids))
                     n += len(ids)
                 back.update(decoder.finish())

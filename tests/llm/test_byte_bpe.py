@@ -120,3 +120,13 @@ def test_documents(spark):
     back = byte_bpe.decoded(byte_bpe.encoded(frame, path, PATTERN), path, PATTERN)
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(((i, t or "") for i, t, *_ in rows), key=repr)
     assert byte_bpe.digest(frame.limit(0), path, PATTERN).collect() == []
+
+
+def test_chunks_of_whole_characters_need_no_state_machine(monkeypatch):
+    tokens = {b: bytes([b]) for b in range(256)} | {256: b"\xc3\xa9", 257: b"a\xf0\x9f"}
+    decoder = byte_bpe.Decoder(tokens)
+    cut = [decoder.feed([97, 257]), decoder.feed([0x98]), decoder.feed([0x80, 98])]
+    assert b"".join(cut) == "aa😀b".encode() and decoder.finish() == b""
+    assert decoder.feed([0xFF, 97]) == b"\xffa"
+    monkeypatch.setattr(byte_bpe.np, "flatnonzero", None)  # whole characters don't ask for it
+    assert decoder.feed([97, 256]) == "aé".encode() and decoder.feed([]) == b""
