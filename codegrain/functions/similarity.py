@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 
@@ -43,9 +44,11 @@ def token_distance(a: list | None, b: list | None) -> int | None:
 def token_similarity(a: Column, b: Column) -> Column:
     """Levenshtein distance over whole tokens as percent of the longer array, whole arrays however long."""
 
-    @F.pandas_udf("long")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([token_distance(None if s is None else list(s), None if t is None else list(t)) for s, t in zip(x, y, strict=True)], dtype="Int64")
+    @F.arrow_udf("long")
+    def distance(x: pa.Array, y: pa.Array) -> pa.Array:
+        """Tokens of a few rows at a time are Python's."""
+        some = ((x.slice(at, 64).to_pylist(), y.slice(at, 64).to_pylist()) for at in range(0, len(x), 64))
+        return pa.array([token_distance(s, t) for left, right in some for s, t in zip(left, right, strict=True)], pa.int64())
 
     return percent(distance(a, b), F.greatest(F.size(a), F.size(b)))
 
