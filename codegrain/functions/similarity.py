@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -98,12 +99,49 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+#: Cells of a table of runs, above which matches are sought without one.
+RUNS = 1 << 24
+
+
+def matched(a: str, b: str) -> int:
+    """How many characters difflib's matching blocks have: the longest run in common, of equal ones the first in a and then in b,
+    and so on to both sides of it. The table of runs (for each pair of places the length of the common run that ends there) is
+    made once, by rows; a part of the texts takes a part of it, in which no run is longer than the part."""
+    if not a or not b:
+        return 0
+    if len(a) * len(b) > RUNS or min(len(a), len(b)) >= 1 << 15:
+        from difflib import SequenceMatcher
+
+        return sum(block.size for block in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    left, right = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b))
+    masks = {c: (right == c).astype(np.int16) for c in np.unique(left).tolist()}
+    runs = np.zeros((len(a) + 1, len(b) + 1), np.int16)
+    for i, c in enumerate(left.tolist()):
+        np.add(runs[i, :-1], 1, out=runs[i + 1, 1:])
+        runs[i + 1, 1:] *= masks[c]
+    upto = np.minimum(np.arange(1, max(len(a), len(b)) + 1), (1 << 15) - 1).astype(np.int16)  # no run is longer
+    total, parts = 0, [(0, len(a), 0, len(b))]
+    while parts:
+        a0, a1, b0, b1 = parts.pop()
+        within = np.minimum(runs[a0 + 1 : a1 + 1, b0 + 1 : b1 + 1], upto[: b1 - b0])
+        np.minimum(within, upto[: a1 - a0, None], out=within)
+        i, j = divmod(int(within.argmax()), b1 - b0)
+        size = int(within[i, j])
+        if size:
+            total += size
+            i, j = a0 + i + 1 - size, b0 + j + 1 - size
+            parts += [p for p in ((a0, i, b0, j), (i + size, a1, j + size, b1)) if p[0] < p[1] and p[2] < p[3]]
+    return total
+
+
 def fuzzy_ratio():
     """Pandas UDF (a, b) -> whole percent: twice the matched characters over all, by matching blocks."""
+
+    def percent_of(a: str, b: str) -> int:
+        return round(100 * (2.0 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0))
+
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        return pd.Series([None if x is None or y is None else round(100 * SequenceMatcher(None, x.strip(), y.strip(), autojunk=False).ratio()) for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series([None if x is None or y is None else percent_of(x.strip(), y.strip()) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     return ratio
