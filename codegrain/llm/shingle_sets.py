@@ -1,4 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of word shingle sets, without loss.
+"""Near-duplicates by SimHash and the Jaccard similarity of word shingle sets, without loss.
+
+First come the SimHash fingerprints of the same shingles, linked at four or fewer differing bits by the index on positional
+bytes (simhash.links). Each set is held against one of those that such links reach, and pairs whose whole sets are similar
+enough are joined. Copies with few changes mostly meet here, by one pair a set, however large their group. Fingerprints of
+64 bits neither link every pair of similar sets nor only such, so an index on the shingles themselves finds what is missing.
 
 Two sets of similarity t or more share at least t of either, so, with all shingles in one order, the first
 n - ceil(t n) + 1 of both have a shingle in common. An index on those finds every pair. Any order is right; the one
@@ -6,10 +11,9 @@ used puts shingles that are frequent in some rows last, so their lists stay shor
 sets after the shared shingle is large enough, and if their bitmaps, in which each shingle turns one of 1,024 bits over,
 differ in no more bits than the sets may in shingles. What is left is verified on whole sets.
 
-Only groups are asked for, so pairs that are joined already need no look. Each list first holds its members against one
-of them, drawn by the list's own hash: copies of one text share many lists and so meet many of each other, which joins
-them by as many pairs as they have list entries. Rounds go on, each with another member of the component that has most
-of a list, until what is left to compare is little or a round joins little: what is apart then are texts that reach the
+Only groups are asked for, so pairs that are joined already need no look, nor do lists whose members all are. Other lists
+hold their members against one of the component that has most of the list, drawn by hash: copies of one text share many
+lists and so meet many of each other, which joins them by as many pairs as they have list entries. Rounds go on until what is left to compare is little or a round joins little: what is apart then are texts that reach the
 threshold with few others of their list or with none, so all members of other components must be looked at. Their bitmaps
 are compared within the task that holds the list, in blocks, and only pairs that these leave become rows.
 """
@@ -27,18 +31,23 @@ from pyspark.sql import functions as F
 
 from codegrain.llm.common import Stored, stored
 from codegrain.llm.components import components, first_of_groups, label_groups, numbered
-from codegrain.llm.simhash import SEED, as_bytes, shingle_hashes, texts
+from codegrain.llm.simhash import SEED, as_bytes, fingerprint_of, links, shingle_hashes, texts
 
 #: Share of the rows on which frequent shingles are counted (ORDER_ROWS at least) and how many shingles are held; the pairs
 #: found don't depend on them.
 ORDER_SHARE, ORDER_ROWS, ORDER_SHINGLES = 0.1, 10_000, 1_000_000
 BITS = 1024
+#: Sets that are held against the same one where fingerprints link them.
+STAR = 256
+
+
+def _distinct(found: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, np.int64)
 
 
 def shingles(text: str | bytes | memoryview | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of k words; fewer words are one shingle, no words none."""
-    found = list(shingle_hashes(text.encode() if isinstance(text, str) else text or b"", k))
-    return np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, np.int64)
+    return _distinct(list(shingle_hashes(text.encode() if isinstance(text, str) else text or b"", k)))
 
 
 def _node(found: np.ndarray) -> int:
@@ -90,23 +99,46 @@ def prefix(found: np.ndarray, order: tuple[np.ndarray, np.ndarray], least: tuple
 
 
 def indexed(docs: DataFrame, k: int, least: tuple[int, int]) -> DataFrame:
-    """(doc_id, row, node, size, prefix, bits) of each row."""
+    """(doc_id, row, node, size, prefix, bits, print) of each row; print is the SimHash fingerprint as a signed long."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent(docs, k))  # ORDER_SHINGLES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [shingles(as_bytes(t), k) for t in part.column(2)]
-                nodes = np.array([_node(x) for x in found], np.uint64).view(np.int64)
-                columns = [*part.columns[:2], pa.array(nodes), pa.array([len(x) for x in found], pa.int32()), _lists([prefix(x, sent.value, least) for x in found]), pa.array(map(bitmap, found), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "size", "prefix", "bits"])
+                found, prints = [], []
+                for t in part.column(2):
+                    hashes = list(shingle_hashes(as_bytes(t), k))
+                    found.append(_distinct(hashes))
+                    prints.append(fingerprint_of(hashes))
+                nodes, prints = (np.array(x, np.uint64).view(np.int64) for x in (list(map(_node, found)), prints))
+                columns = [*part.columns[:2], pa.array(nodes), pa.array([len(x) for x in found], pa.int32()), _lists([prefix(x, sent.value, least) for x in found]), pa.array(map(bitmap, found), pa.binary()), pa.array(prints)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "node", "size", "prefix", "bits", "print"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, row long, node long, size int, prefix array<long>, bits binary")
+    return texts(docs).mapInArrow(run, "doc_id long, row long, node long, size int, prefix array<long>, bits binary, print long")
+
+
+def alike(prints: DataFrame, keep: Stored) -> DataFrame:
+    """(a, b): pairs of nodes that links between fingerprints join, for distinct prints (node, print).
+
+    A group of n nodes gets fewer than n pairs: its nodes are dealt to stars of about STAR by a hash, and the middles of the
+    stars are held against one of them. So no task gets a whole large group where pairs are joined.
+    """
+    ids = keep(prints.select(F.col("print").alias("node"), F.col("print").alias("id")).distinct())
+    joined = components(links(ids)).select(F.col("id").alias("print"), "component")
+    member = keep(prints.join(joined, "print", "left").select("node", F.coalesce("component", "print").alias("group")).distinct())
+    sizes = member.groupBy("group").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    placed = member.join(sizes, "group").select("group", "node", "first", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / STAR)).alias("star"))
+    middles = keep(placed.groupBy("group", "star").agg(F.min("node").alias("middle"), F.first("first").alias("first")))
+    rays = placed.join(middles.select("group", "star", "middle"), ["group", "star"]).select(F.col("node").alias("a"), F.col("middle").alias("b"))
+    both = rays.unionByName(middles.select(F.col("middle").alias("a"), F.col("first").alias("b"))).where("a <> b")
+    out = keep(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    keep.drop(ids, member, middles)
+    return out
 
 
 def shared_lists(prints: DataFrame) -> DataFrame:
-    """(list, node, size, rest, hub, hub_size, hub_rest): the lists of two nodes or more, each with one of its nodes as hub.
+    """(list, node, size, rest): the lists of two nodes or more.
 
     rest is the number of shingles of the node from this one on.
     """
@@ -131,15 +163,10 @@ def shared_lists(prints: DataFrame) -> DataFrame:
             done = done[:, np.concatenate([[True], (done[0, 1:] != done[0, :-1]) | (done[1, 1:] != done[1, :-1])])]
             first = np.flatnonzero(np.concatenate([[True], done[0, 1:] != done[0, :-1]]))
             n = np.diff(np.append(first, done.shape[1]))
-            drawn = first + ((done[0, first].astype(np.uint64) >> np.uint64(7)) % n.astype(np.uint64)).astype(np.int64)
-            many, hub = np.repeat(n > 1, n), np.repeat(drawn, n)
-            hub = hub[many]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(done[0, many]), pa.array(done[1, many]), *(pa.array(done[i, many].astype(np.int32)) for i in (2, 3)), pa.array(done[1, hub]), *(pa.array(done[i, hub].astype(np.int32)) for i in (2, 3))],
-                names=["list", "node", "size", "rest", "hub", "hub_size", "hub_rest"],
-            )
+            many = np.repeat(n > 1, n)
+            yield pa.RecordBatch.from_arrays([pa.array(done[0, many]), pa.array(done[1, many]), *(pa.array(done[i, many].astype(np.int32)) for i in (2, 3))], names=["list", "node", "size", "rest"])
 
-    return listed.repartition("list").sortWithinPartitions("list", "node").mapInArrow(run, "list long, node long, size int, rest int, hub long, hub_size int, hub_rest int")
+    return listed.repartition("list").sortWithinPartitions("list", "node").mapInArrow(run, "list long, node long, size int, rest int")
 
 
 def possible(pairs: DataFrame, maps: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -240,11 +267,13 @@ def _labelled(docs: DataFrame, shingle: int, least: tuple[int, int], rounds: int
     prints = stored(whole.select("doc_id", "row", "node"))
     nodes = numbered(prints)
     shared = keep(shared_lists(whole))
+    first = alike(whole.select("node", "print").distinct(), keep)
     maps = keep(whole.join(shared.select("node").distinct(), "node", "left_semi").select("node", "size", "bits").distinct())
     keep.drop(whole)
     fit = lambda ra, rb, na, nb: f"least({ra}, {rb}) * {p + q} >= ({na} + {nb}) * {p}"  # as many shingles as must be shared
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    asked = keep(possible(shared.where("hub <> node and " + fit("rest", "hub_rest", "size", "hub_size")).select(*ordered("hub", "node")).distinct(), maps, least))
+    asked = keep(possible(first, maps, least))  # similar sets share a list, so nodes without maps have none
+    keep.drop(first)
     edges = verified(asked, docs, nodes, shingle, least, keep)
     entries, former = shared.count(), None
     for turn in range(rounds):

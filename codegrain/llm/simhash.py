@@ -11,7 +11,7 @@ each pair are tallied; pairs that reach the guaranteed minimum of four are verif
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -63,8 +63,13 @@ def as_bytes(text: pa.StringScalar) -> bytes | memoryview:
 
 def fingerprint(text: str | bytes | memoryview | None, shingle: int = 4) -> int:
     """A bit is set if it is set in over half the shingle hashes; no words, no bit."""
+    return fingerprint_of(shingle_hashes(text.encode() if isinstance(text, str) else text or b"", shingle))
+
+
+def fingerprint_of(pieces: Iterable[np.ndarray]) -> int:
+    """The same of hashes that come in pieces, repeats included."""
     total, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text.encode() if isinstance(text, str) else text or b"", shingle):
+    for hashes in pieces:
         total += np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(hashes)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])

@@ -76,3 +76,28 @@ def test_blocks_of_a_list_leave_no_pair_out(spark):
     for block in (8, 40, 512):
         got = [(r["a"], r["b"]) for r in shingle_sets.crossing(frame, maps, (4, 5), block).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_links_between_fingerprints_come_first(spark, monkeypatch):
+    data = rows() + [(i, "one two three four five six seven " + "x y z " * 30 + f"end{i % 3}") for i in range(2000, 2008)]
+    found = {i: shingle_sets.shingles(t, 5) for i, t in data}
+    node = {i: int(np.uint64(shingle_sets._node(x)).astype(np.int64)) for i, x in found.items()}
+    prints = {i: simhash.fingerprint(t, 5) for i, t in data}
+    near = [(node[a], node[b]) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    want = classes(set(node.values()), near)
+    asked, plain = [], shingle_sets.verified
+
+    def verified(pairs, *rest):
+        asked.append([(r["a"], r["b"]) for r in pairs.collect()])
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(shingle_sets, "verified", verified)
+    monkeypatch.setattr(shingle_sets, "STAR", 3)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    pairs = [(r["a"], r["b"]) for r in shingle_sets.alike(shingle_sets.indexed(docs, 5, (4, 5)).select("node", "print").distinct(), shingle_sets.Stored(spark)).collect()]
+    assert classes(set(node.values()), pairs) == want
+    assert len(set(pairs)) == len(pairs) < len(want)
+    got = {r["doc_id"]: r["component_id"] for r in shingle_sets.near_duplicates(docs).collect()}
+    assert asked[0] and set(asked[0]) <= set(pairs)
+    held = {i: set(x.tolist()) for i, x in found.items()}
+    assert got == classes(held, [(a, b) for a, b in combinations(held, 2) if 9 * len(held[a] & held[b]) >= 4 * (len(held[a]) + len(held[b]))])
