@@ -1,7 +1,9 @@
-"""Inference as a stream that survives a stop: each sample has a state, failed calls come back by timer, answers are written once.
+"""Inference as a stream that survives a stop: each sample is asked until it is answered, failed calls come back by timer, answers are written once.
 
-The state of a sample is what it asks and how often it was tried. A call that fails leaves the state and a timer; the timer asks
-again, later each time, until a call answers or the tries are used up, and the state then says only that the sample is done. The
+A sample that comes again is dropped. Samples are dealt to GROUPS keys by a hash; the state of a key is what its samples that wait
+for another try ask and how often they were tried, in parts of PART samples under the time at which they are due. A call that fails
+puts its sample there; one timer for each key and time asks again, later each time, until a call answers or the tries are used up.
+So a batch costs calls of the state by keys and parts, not by samples, and touches only samples that are new or due. The
 checkpoint holds states and timers, the sink's log what was written: a query that was stopped or killed goes on where it was,
 and a batch that was cut off is asked again but its answers are written once.
 """
@@ -24,52 +26,94 @@ from codegrain.functions.text import after_thinking
 #: client(messages, model, attempt) -> text
 Client = Callable[[list[dict], str, int], str]
 ANSWERS = "sample_id string, model string, answer string, error string, tries int"
+#: Keys of the state, and samples that one value of it holds at most.
+GROUPS, PART = 512, 500
 
 
-def asked(client: Client, messages: list[dict], model: str, attempt: int, seconds: float | None) -> tuple[str, str | None]:
-    """(answer, error) of one call, which may take so many seconds; a call beyond them is left behind and counts as failed."""
-    pool = ThreadPoolExecutor(1)
+def asked(client: Client, messages: list[dict], model: str, attempt: int, seconds: float | None, pool: ThreadPoolExecutor | None = None) -> tuple[str, str | None]:
+    """(answer, error) of one call, which may take so many seconds; a call beyond them is left behind and counts as failed.
+    A pool given is for calls one after the other and is shut down if one is left behind."""
+    own = pool or ThreadPoolExecutor(1)
+    call = own.submit(client, messages, model, attempt)
     try:
-        return pool.submit(client, messages, model, attempt).result(seconds), None
-    except TimeoutError:
-        return "", f"TimeoutError: no answer within {seconds:g} s"
+        return call.result(seconds), None
     except Exception as e:  # the row says what failed
+        if isinstance(e, TimeoutError) and not call.done():
+            own.shutdown(wait=False)
+            return "", f"TimeoutError: no answer within {seconds:g} s"
         return "", f"{type(e).__name__}: {e}"
     finally:
-        pool.shutdown(wait=False)
+        if pool is None:
+            own.shutdown(wait=False)
 
 
 class Samples(StatefulProcessor):
-    """Keys are (sample_id, model)."""
+    """Keys are (part,), whose rows are (part, sample_id, model, messages)."""
 
     def __init__(self, client: Client, tries: int, wait_ms: int, seconds: float | None):
         self.client, self.tries, self.wait_ms, self.seconds = client, tries, wait_ms, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sample = handle.getValueState("sample", "messages string, tried int, done boolean")
+        self.waiting = handle.getMapState("waiting", "due long, n int", "samples string")
+
+    def _ask(self, samples: Iterator[tuple[str, str, str, int]], now_ms: int) -> Iterator[pd.DataFrame]:
+        """Answers of (sample_id, model, messages, tried); those that failed wait for another try."""
+        import json
+
+        pool, rows, again, placed = ThreadPoolExecutor(1), [], {}, {}
+        for sample_id, model, messages, tried in samples:
+            answer, error = asked(self.client, json.loads(messages), model, tried, self.seconds, pool)
+            if pool._shutdown:
+                pool = ThreadPoolExecutor(1)
+            tried += 1
+            if error is not None and tried < self.tries:
+                due = now_ms + self.wait_ms * 2 ** (tried - 1)
+                again.setdefault(due, []).append((sample_id, model, messages, tried))
+                if len(again[due]) == PART:
+                    self._wait(due, again.pop(due), placed)
+                continue
+            rows.append((sample_id, model, answer, error, tried))
+            if len(rows) == PART:
+                yield self._frame(rows)
+                rows = []
+        pool.shutdown(wait=False)
+        for due, some in again.items():
+            self._wait(due, some, placed)
+        if rows:
+            yield self._frame(rows)
+
+    def _wait(self, due: int, samples: list, placed: dict[int, int]) -> None:
+        """Puts samples into the first free part under the time; placed says from where to look."""
+        import json
+
+        n = placed.get(due, 0)
+        while self.waiting.containsKey((due, n)):
+            n += 1
+        placed[due] = n + 1
+        self.waiting.updateValue((due, n), (json.dumps(samples),))
+        self.handle.registerTimer(due)
+
+    @staticmethod
+    def _frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["sample_id", "model", "answer", "error", "tries"])
 
-    def _ask(self, key, messages: str, tried: int, now_ms: int) -> Iterator[pd.DataFrame]:
+    def _due(self, due: int) -> Iterator[tuple[str, str, str, int]]:
         import json
 
-        answer, error = asked(self.client, json.loads(messages), key[1], tried, self.seconds)
-        tried += 1
-        if error is not None and tried < self.tries:
-            self.sample.update((messages, tried, False))
-            self.handle.registerTimer(now_ms + self.wait_ms * 2 ** (tried - 1))
-            return
-        self.sample.update(("", tried, True))
-        yield pd.DataFrame({"sample_id": [key[0]], "model": [key[1]], "answer": [answer], "error": [error], "tries": [tried]})
+        n = 0
+        while self.waiting.containsKey((due, n)):
+            samples = json.loads(self.waiting.getValue((due, n))[0])
+            self.waiting.removeKey((due, n))
+            n += 1
+            yield from samples
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        messages = [m for frame in rows for m in frame["messages"]]
-        if not self.sample.exists():  # a sample that comes again is the same sample
-            yield from self._ask(key, messages[0], 0, timerValues.getCurrentProcessingTimeInMs())
+        samples = ((*row, 0) for frame in rows for row in frame[["sample_id", "model", "messages"]].itertuples(index=False, name=None))
+        yield from self._ask(samples, timerValues.getCurrentProcessingTimeInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        messages, tried, done = self.sample.get()
-        if not done:
-            yield from self._ask(key, messages, tried, timerValues.getCurrentProcessingTimeInMs())
+        yield from self._ask(self._due(expiredTimerInfo.getExpiryTimeInMs()), timerValues.getCurrentProcessingTimeInMs())
 
 
 def start(tasks: DataFrame, client: Client, out: str, checkpoint: str, tries: int = 3, wait_ms: int = 1000, seconds: float | None = 60, every: str = "1 second") -> StreamingQuery:
@@ -77,8 +121,9 @@ def start(tasks: DataFrame, client: Client, out: str, checkpoint: str, tries: in
     each sample and model when it is answered or has failed `tries` times. How many files a batch takes says how much is asked
     again after a kill (maxFilesPerTrigger). The session needs the RocksDB state store, see session()."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the process beside the driver gets no shipped files
-    keyed = tasks.select("sample_id", "model", F.to_json("messages").alias("messages"))
-    answers = keyed.groupBy("sample_id", "model").transformWithStateInPandas(Samples(client, tries, wait_ms, seconds), outputStructType=ANSWERS, outputMode="Append", timeMode="ProcessingTime")
+    part = F.pmod(F.xxhash64("sample_id", "model"), F.lit(GROUPS)).cast("int").alias("part")
+    keyed = tasks.select(part, "sample_id", "model", F.to_json("messages").alias("messages")).dropDuplicates(["sample_id", "model"])
+    answers = keyed.groupBy("part").transformWithStateInPandas(Samples(client, tries, wait_ms, seconds), outputStructType=ANSWERS, outputMode="Append", timeMode="ProcessingTime")
     done = answers.withColumn("answer", after_thinking(F.col("answer")))
     return done.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime=every).start()
 

@@ -95,3 +95,63 @@ def test_answers_scored_as_they_arrive_are_those_of_the_batch(spark):
     sf = "/root/testdata/sf0.001"
     got, want = (sorted(map(tuple, QUERIES[name](spark, sf).collect())) for name in ("scored_stream", "scored_answers"))
     assert got == want and len(got) > 20
+
+
+class Held:
+    """The state of one key, which counts its calls."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, [], 0
+
+    def getMapState(self, *_):
+        return self
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.values
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.values[key] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.values[key]
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.values[key]
+
+    def registerTimer(self, due):
+        self.calls += 1
+        self.timers.append(due)
+
+
+def test_state_is_called_by_parts_and_not_by_samples():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    def client(messages, model, attempt):
+        if attempt < int(messages[0]["content"]) % 4:
+            raise ValueError("no")
+        return model
+
+    held, n = Held(), 2600
+    samples = infer.Samples(client, 3, 100, None)
+    samples.init(held)
+    at = lambda now: SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now)
+    rows = [(0, f"s{i}", "m", json.dumps([{"content": str(i)}])) for i in range(n)]
+    frames = [pd.DataFrame(rows[k : k + 1000], columns=["part", "sample_id", "model", "messages"]) for k in range(0, n, 1000)]
+    got, now = list(samples.handleInputRows((0,), iter(frames), at(1000))), 1000
+    while held.timers:
+        due = min(held.timers)
+        held.timers = [t for t in held.timers if t != due]
+        now = due + 7
+        got += samples.handleExpiredTimer((0,), at(now), SimpleNamespace(getExpiryTimeInMs=lambda due=due: due))
+    assert not held.values and held.calls < 100 and len(got) < 20
+    answers = {r.sample_id: (r.answer, r.error, r.tries) for frame in got for r in frame.itertuples()}
+    assert sum(map(len, got)) == n == len(answers)
+    for i in range(n):
+        answer, error, tries = answers[f"s{i}"]
+        assert tries == min(i % 4 + 1, 3) and answer == ("m" if i % 4 < 3 else "") and (error == "ValueError: no") == (i % 4 == 3)
