@@ -239,3 +239,13 @@ def test_tasks_are_topped_up(spark, files):
         assert whole.startswith(r["prefix"]) and whole.endswith(r["suffix"])
     drawn = {r["repo_name"]: (r["kept"], r["drawn"]) for r in report.collect()}
     assert set(drawn) == {"r0", "r1"} and all(k == 2 and d <= 12 for k, d in drawn.values()) and sum(d for _, d in drawn.values()) < 24
+
+
+def test_the_tasks_of_every_page_ask(spark):
+    from codegrain.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    sites = Counter(r["url"].split("/")[2] for r in spark.read.parquet(f"{sf}/pages.parquet").select("url").collect())
+    asked = {r["sample_id"]: sites[r["repo_name"]] - 1 for r in QUERIES["construct_tasks"](spark, sf).select("sample_id", "repo_name").collect()}
+    got = Counter(r["sample_id"] for r in QUERIES["construct_context"](spark, sf).select("sample_id").collect())
+    assert got == {s: n for s, n in asked.items() if n} and len(got) > 10
